@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,11 @@ class Scratch:
         self.kept[id(out)] = at
         return out
 
+    def sweep(self) -> None:
+        """Let Spark's cleaner see that shuffles of finished steps are unreachable, so that their files go."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         """Delete written tables that nothing reads any more."""
         jvm = self.spark.sparkContext._jvm
