@@ -1,15 +1,443 @@
-"""Queries over the driver's tables."""
+"""Queries over the driver's tables, one for each operator, and their SQL.
+
+Each goes through the flow API (or the function it names), so what is compared is the operator.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+
+from brookline.functions import basic, xml
+from brookline.functions.registry import GZIP
+from brookline.operators.flow import Flow, Fold, Mapper, Step
+from brookline.sources.files import Contents, Directory
+from brookline.sources.sequence import Cycle, Items
+from brookline.sources.sinks import line
+from brookline.types import BINARY, KV, KVM, LONG, STRING, URL, XML, record
+
+GZ, UNGZ = GZIP
+FOUND: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(fn):
+        FOUND[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _events(spark: SparkSession, d: str, value: str = "user_id", kind=LONG, where: str = "true") -> Step:
+    df = _table(spark, d, "events").where(where)
+    return Flow(spark).table(df, "event_id", value, kind, F.col("ts"))
+
+
+def _root(spark: SparkSession, d: str, name: str, key: str, value, kind=STRING) -> Step:
+    return Flow(spark).table(_table(spark, d, name), key, value, kind)
+
+
+# Sources.
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT,'a'),(2,'b'),(3,'c')) t(uniq,value)")
+def src_list(spark, d):
+    return Flow(spark).source(Items(["a", "b", "c"])).values(uniq="k0", value="value")
+
+
+@query("SELECT i+1 AS uniq, (['x','y','z'])[i%3+1] AS value FROM range(1000) t(i)")
+def src_round_robin(spark, d):
+    return Flow(spark).source(Cycle(1000, ["x", "y", "z"])).values(uniq="k0", value="value")
+
+
+@query()
+def src_files_url(spark, d):
+    return Flow(spark).source(Directory(d)).values(uniq="k0", proto=F.col("value.proto"), path=F.col("value.path"), name=F.col("value.name"))
+
+
+@query()
+def file_reader(spark, d):
+    return Flow(spark).source(Contents(f"{d}/nation.parquet")).values(path="k0", size=F.octet_length("value"))
+
+
+@query("SELECT o_orderkey, o_orderpriority AS h FROM orders")
+def kv_headers_last_win(spark, d):
+    pairs = F.array(*(F.struct(F.lit("h").alias("key"), F.col(c).cast("binary").alias("value")) for c in ("o_orderstatus", "o_orderpriority")))
+    df = _table(spark, d, "orders").select("o_orderkey", basic.headers_last_wins(pairs).alias("headers"))
+    return df.select("o_orderkey", F.col("headers")["h"].cast("string").alias("h"))
+
+
+# Elements.
+
+
+@query("SELECT event_id, user_id*2 AS v FROM events")
+def map_expr(spark, d):
+    return _events(spark, d).map(lambda v: v * 2).values(event_id="k0", v="value")
+
+
+def _lower(v: str) -> str:
+    return v.lower()
+
+
+@query("SELECT n_nationkey, lower(n_name) AS v FROM nation")
+def map_udf(spark, d):
+    return _root(spark, d, "nation", "n_nationkey", "n_name").map(_lower).values(n_nationkey="k0", v="value")
+
+
+class ByteLength(Mapper):
+    takes, gives = STRING, LONG
+
+    def prepare(self):
+        encode = str.encode
+        return lambda v: len(encode(v))
+
+
+@query("SELECT p_partkey, strlen(p_name)::BIGINT AS v FROM part")
+def map_iter_udf(spark, d):
+    return _root(spark, d, "part", "p_partkey", "p_name").map(ByteLength()).values(p_partkey="k0", v="value")
+
+
+@query("SELECT event_id FROM events WHERE event_type='purchase'")
+def filter_expr(spark, d):
+    return _events(spark, d, "event_type", STRING).filter(lambda v: v == "purchase").values(event_id="k0")
+
+
+def _no_w(v: str) -> bool:
+    return "w" not in v
+
+
+@query("SELECT p_partkey FROM part WHERE p_name NOT LIKE '%w%'")
+def filter_udf(spark, d):
+    return _root(spark, d, "part", "p_partkey", "p_name").filter(_no_w).values(p_partkey="k0")
+
+
+@query("SELECT doc_id, unnest(string_split(text,' ')) AS word FROM documents")
+def flatmap_explode(spark, d):
+    return _root(spark, d, "documents", "doc_id", "text").flat_map(lambda v: basic.literal_split(v, " ")).values(doc_id="k0", word="value")
+
+
+def _udtf():
+    @udtf(returnType="i: bigint")
+    class Upto:
+        def eval(self, n: int):
+            for i in range(n):
+                yield (i,)
+
+    return Upto
+
+
+@query("SELECT o_orderkey, unnest(range(0, o_orderkey%4))::BIGINT AS i FROM orders")
+def flatmap_udtf(spark, d):
+    spark.udtf.register("brookline_upto", _udtf())
+    orders = _table(spark, d, "orders").select("o_orderkey")
+    return spark.sql("SELECT o_orderkey, i FROM {orders}, LATERAL brookline_upto(CAST(o_orderkey % 4 AS INT))", orders=orders)
+
+
+def _upto(v: int) -> Iterator[int]:
+    yield from range(v % 2)
+
+
+@query("SELECT o_orderkey, unnest(range(0, o_orderkey%2))::BIGINT AS i FROM orders")
+def flatmap_zero_rows(spark, d):
+    return _root(spark, d, "orders", "o_orderkey", "o_orderkey", LONG).flat_map(_upto, gives=LONG).values(o_orderkey="k0", i="value")
+
+
+def _both(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for k, sign in enumerate((1, -1)):
+            yield pd.DataFrame({"k0": pdf["k0"], "k1": k, "ts": pdf["ts"], "value": sign * pdf["value"]})
+
+
+@query("SELECT event_id, user_id FROM events UNION ALL SELECT event_id, -user_id FROM events")
+def processor_map_in_pandas(spark, d):
+    return _events(spark, d).process(_both, LONG, LONG).values(event_id="k0", user_id="value")
+
+
+@query("SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(replace(text,chr(10),chr(10)||chr(10)),chr(10))) AS line FROM documents) WHERE strlen(line)>0")
+def text_lines(spark, d):
+    doubled = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return _root(spark, d, "documents", "doc_id", doubled).flat_map(basic.text_lines).values(doc_id="k0", line="value")
+
+
+@query("SELECT o_orderkey, unnest(string_split(o_orderpriority,'-')) AS part FROM orders")
+def split_explode(spark, d):
+    return _root(spark, d, "orders", "o_orderkey", "o_orderpriority").flat_map(lambda v: basic.literal_split(v, "-")).values(o_orderkey="k0", part="value")
+
+
+# Folds.
+
+
+@query("WITH d AS (SELECT event_id,row_number() OVER(ORDER BY event_id) rn,count(*) OVER() n,sum(user_id) OVER(ORDER BY event_id) acc FROM events WHERE event_id%3<>0) SELECT ceil(rn/1000.0)::BIGINT AS emit_no, event_id AS uniq, acc::BIGINT AS acc FROM d WHERE rn%1000=0 OR rn=n")
+def fold_sum_each(spark, d):
+    return _events(spark, d, where="event_id % 3 <> 0").fold(Fold("sum", lambda v: v)).each(1000).values(emit_no="k0", uniq="uniq", acc="value")
+
+
+@query("SELECT sum(strlen(text))::BIGINT AS acc FROM documents")
+def fold_final(spark, d):
+    return _root(spark, d, "documents", "doc_id", "text").fold(Fold("sum", lambda v: F.octet_length(v).cast("bigint"))).values(acc="value")
+
+
+def _larger(acc: int, v: int) -> int:
+    return max(acc, v)
+
+
+@query("SELECT max(user_id) AS acc FROM events")
+def fold_custom_udaf(spark, d):
+    return _events(spark, d).fold(Fold("max", lambda v: v, None)).values(acc="value")
+
+
+@query("WITH d AS (SELECT event_id, row_number() OVER(ORDER BY event_id) rn, count(*) OVER() n, max(user_id) OVER(ORDER BY event_id) acc FROM events) SELECT ceil(rn/2500.0)::BIGINT AS emit_no, acc FROM d WHERE rn%2500=0 OR rn=n")
+def fold_callable_each(spark, d):
+    return _events(spark, d).fold(_larger, 0).each(2500).values(emit_no="k0", acc="value")
+
+
+@query("SELECT count(*) AS n FROM events")
+def count_final(spark, d):
+    return _events(spark, d).count().values(n="value")
+
+
+@query("SELECT least(i*700, (SELECT count(*) FROM events))::BIGINT AS n FROM range(1, 1+(SELECT ceil(count(*)/700.0)::BIGINT FROM events)) t(i)")
+def count_each(spark, d):
+    return _events(spark, d).count().each(700).values(n="value")
+
+
+@query("SELECT (i*1000)::BIGINT AS n FROM range(1, 1+(SELECT count(*)//1000 FROM events)) t(i)")
+def count_each_exact(spark, d):
+    return _events(spark, d).count().each(1000).values(n="value")
+
+
+@query("SELECT count(*) AS n FROM events WHERE event_id<0 HAVING count(*)>0")
+def count_empty(spark, d):
+    return _events(spark, d, where="event_id < 0").count().values(n="value")
+
+
+@query("SELECT i::BIGINT AS n FROM range(1, 1+(SELECT ceil(count(*)/1000.0)::BIGINT FROM events)) t(i)")
+def fold_of_fold(spark, d):
+    return _events(spark, d).count().each(1000).count().each(1).values(n="value")
+
+
+# Options.
+
+
+@query("SELECT event_id FROM events ORDER BY event_id LIMIT 50")
+def limit_root(spark, d):
+    return _events(spark, d).limit(50).values(event_id="k0")
+
+
+@query("SELECT event_id, user_id*2 AS v FROM events ORDER BY event_id LIMIT 50")
+def limit_map(spark, d):
+    return _events(spark, d).map(lambda v: v * 2).limit(50).values(event_id="k0", v="value")
+
+
+@query("SELECT event_id FROM events WHERE event_type='error' ORDER BY event_id LIMIT 50")
+def limit_filter(spark, d):
+    return _events(spark, d, "event_type", STRING).filter(lambda v: v == "error").limit(50).values(event_id="k0")
+
+
+@query("SELECT o_orderkey, i FROM (SELECT o_orderkey, unnest(range(0,o_orderkey%4))::BIGINT AS i FROM orders) ORDER BY o_orderkey, i LIMIT 37")
+def limit_flatmap(spark, d):
+    upto = lambda v: F.when(v % 4 > 0, F.sequence(F.lit(0).cast("bigint"), v % 4 - 1)).otherwise(F.array().cast("array<bigint>"))
+    return _root(spark, d, "orders", "o_orderkey", "o_orderkey", LONG).flat_map(upto).limit(37).values(o_orderkey="k0", i="value")
+
+
+@query("SELECT (i*1000)::BIGINT AS n FROM range(1,4) t(i)")
+def limit_fold(spark, d):
+    return _events(spark, d).count().each(1000).limit(3).values(n="value")
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 10")
+def limit_sink(spark, d):
+    return _root(spark, d, "orders", "o_orderkey", "o_orderstatus").limit(10).values(o_orderkey="k0")
+
+
+@query("SELECT event_id FROM events")
+def limit_zero_is_noop(spark, d):
+    return _events(spark, d).limit(0).values(event_id="k0")
+
+
+@query("SELECT event_id, row_number() OVER(ORDER BY event_id) AS pos FROM events")
+def par_order_preserved(spark, d):
+    return _events(spark, d).map(lambda v: v + 1).par(4).numbered().select(F.col("k0").alias("event_id"), F.col("rn").alias("pos"))
+
+
+@query("SELECT n_nationkey FROM nation")
+def throttle_identity(spark, d):
+    return _root(spark, d, "nation", "n_nationkey", "n_name").throttle(1000, 1.0).values(n_nationkey="k0")
+
+
+@query("SELECT i::BIGINT AS flush_no, least(1000, c-(i-1)*1000)::BIGINT AS n FROM (SELECT count(*) AS c FROM orders), range(1, 1+(SELECT ceil(count(*)/1000.0)::BIGINT FROM orders)) t(i)")
+def sink_flush_each(spark, d):
+    return _root(spark, d, "orders", "o_orderkey", "o_orderstatus").each(1000).batches()
+
+
+@query("SELECT 1::BIGINT AS flush_no, count(*) AS n FROM orders")
+def sink_flush_end(spark, d):
+    return _root(spark, d, "orders", "o_orderkey", "o_orderstatus").batches()
+
+
+@query()
+def stream_count_every(spark, d):
+    from brookline.streaming.runner import count_every
+
+    schema = _table(spark, d, "events").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    if not _is_file(f"{d}/events.parquet"):
+        stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    done = count_every(stream, 1.0, "brookline_count", once=True)
+    done.awaitTermination()
+    return spark.table("brookline_count")
+
+
+def _is_file(path: str) -> bool:
+    import os
+
+    return os.path.isfile(path)
+
+
+# Codecs.
+
+
+@query("SELECT n_nationkey, n_name AS v FROM nation WHERE n_name NOT LIKE '%1%'")
+def xml_decode_text(spark, d):
+    doc = F.concat(F.lit("<name>"), F.col("n_name"), F.lit("</name>"))
+    root = _root(spark, d, "nation", "n_nationkey", doc)
+    return root.map(lambda v: xml.first_text(v, "/name"), takes=XML, gives=STRING).filter(lambda v: ~v.contains("1")).values(n_nationkey="k0", v="value")
+
+
+@query("SELECT s_suppkey, s_nationkey::VARCHAR AS attr FROM supplier")
+def xml_attr(spark, d):
+    doc = F.format_string('<s n="%d"><k>%d</k></s>', "s_nationkey", "s_suppkey")
+    return _root(spark, d, "supplier", "s_suppkey", doc).map(lambda v: xml.attribute(v, "/s", "n"), takes=XML, gives=STRING).values(s_suppkey="k0", attr="value")
+
+
+@query("SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1")
+def xml_children_count(spark, d):
+    doc = F.concat(F.lit("<o>"), F.array_join(F.collect_list(F.format_string("<l n='%d'/>", "l_linenumber")), ""), F.lit("</o>"))
+    orders = _table(spark, d, "lineitem").groupBy("l_orderkey").agg(doc.alias("doc"))
+    return Flow(spark).table(orders, "l_orderkey", "doc", STRING).map(lambda v: xml.count(v, "/o/l"), takes=XML, gives=LONG).values(l_orderkey="k0", n="value")
+
+
+@query("SELECT r_regionkey, '<r><k>'||r_regionkey||'</k><n>'||r_name||'</n></r>' AS x FROM region")
+def xml_round_trip(spark, d):
+    doc = F.format_string("<r><k>%d</k><n>%s</n></r>", "r_regionkey", "r_name")
+    return _root(spark, d, "region", "r_regionkey", doc).map(lambda v: xml.encode_nodes(xml.decode_nodes(v))).values(r_regionkey="k0", x="value")
+
+
+@query("SELECT doc_id, text FROM documents")
+def str_round_trip(spark, d):
+    return _root(spark, d, "documents", "doc_id", "text").code(BINARY).code(STRING).values(doc_id="k0", text="value")
+
+
+@query("SELECT page_id, url AS path FROM pages")
+def url_round_trip(spark, d):
+    value = F.struct(F.lit("file").alias("proto"), F.col("url").alias("path"), F.col("page_id").cast("string").alias("name"), F.col("page_id").alias("mod"))
+    return _root(spark, d, "pages", "page_id", value, URL).code(BINARY).code(URL).values(page_id="value.mod", path="value.path")
+
+
+@query("SELECT r_regionkey, true AS key_is_null, r_name AS value FROM region")
+def kv_nil_key(spark, d):
+    return _root(spark, d, "region", "r_regionkey", "r_name").code(KV).values(r_regionkey="k0", key_is_null=F.col("value.key").isNull(), value=F.col("value.value").cast("string"))
+
+
+@query("SELECT o_orderkey, o_orderpriority AS value FROM orders")
+def kv_ignore_key(spark, d):
+    value = F.struct(F.col("o_orderstatus").cast("binary").alias("key"), F.col("o_orderpriority").cast("binary").alias("value"))
+    return _root(spark, d, "orders", "o_orderkey", value, KV).code(STRING).values(o_orderkey="k0", value="value")
+
+
+@query("SELECT r_regionkey, r_name AS value, 0::INT AS n_headers FROM region")
+def kvm_no_meta(spark, d):
+    step = _root(spark, d, "region", "r_regionkey", "r_name").code(KVM)
+    sized = step.map(lambda v: F.struct(basic.kv_value(v).cast("string").alias("value"), F.size(v["headers"]).alias("n")), gives=record("struct<value:string,n:int>"))
+    return sized.values(r_regionkey="k0", value="value.value", n_headers="value.n")
+
+
+@query("SELECT page_id, html FROM pages")
+def gzip_round_trip(spark, d):
+    return _root(spark, d, "pages", "page_id", "html").encode(GZ).encode(UNGZ).code(STRING).values(page_id="k0", html="value")
+
+
+@query("SELECT p_partkey, p_partkey*65537+2147483648 AS schema_id FROM part")
+def registry_frame_parse(spark, d):
+    frame = basic.registry_wrap(F.col("p_partkey") * 65537 + 2147483648, F.col("p_name").cast("binary"))
+    step = _root(spark, d, "part", "p_partkey", frame, BINARY).map(basic.registry_frame, gives=record("struct<schema_id:bigint,data:binary>"))
+    return step.values(p_partkey="k0", schema_id="value.schema_id")
+
+
+@query("""SELECT r_regionkey, '{"k":'||r_regionkey||',"n":"'||r_name||'"}' AS j FROM region""")
+def json_encode(spark, d):
+    value = F.struct(F.col("r_regionkey").alias("k"), F.col("r_name").alias("n"))
+    return _root(spark, d, "region", "r_regionkey", value, record("struct<k:int,n:string>")).map(basic.json_encode, gives=STRING).values(r_regionkey="k0", j="value")
+
+
+# Exchanges and sinks.
+
+
+@query("SELECT event_id FROM events")
+def net_round_robin(spark, d):
+    return _events(spark, d, "event_type", STRING).spread(4).values(event_id="k0")
+
+
+@query("SELECT event_id, row_number() OVER(ORDER BY event_id) AS pos FROM events")
+def net_merge_ordered(spark, d):
+    return _events(spark, d, "event_type", STRING).spread(4).gather().numbered().select(F.col("k0").alias("event_id"), F.col("rn").alias("pos"))
+
+
+@query("SELECT event_id, row_number() OVER(ORDER BY event_id) AS pos FROM events WHERE user_id%2=0")
+def net_merge_with_filter(spark, d):
+    step = _events(spark, d, "event_type", STRING, where="user_id % 2 = 0").spread(4).filter(lambda v: v.isNotNull()).gather()
+    return step.numbered().select(F.col("k0").alias("event_id"), F.col("rn").alias("pos"))
+
+
+@query("SELECT r_regionkey::VARCHAR||' -> '||r_name AS line FROM region")
+def sink_format_kv(spark, d):
+    value = F.struct(F.col("r_regionkey").cast("string").cast("binary").alias("key"), F.col("r_name").cast("binary").alias("value"))
+    step = _root(spark, d, "region", "r_regionkey", value, KV)
+    return step.values(line=line(F.col("value"), step.kind))
+
+
+# Example programs.
+
+NAMES = ["Adam", "Viktor", "Anna", "Bea", "Cyril", "Bob", "Dora", "Ben", "Emil", "Bruno", "Franz", "Gwen"]
+
+
+@query("WITH n AS (SELECT i+1 AS k, (['Adam','Viktor','Anna','Bea','Cyril','Bob','Dora','Ben','Emil','Bruno','Franz','Gwen'])[i%12+1] AS v FROM range(60000) t(i)), f AS (SELECT *, row_number() OVER (ORDER BY k) rn, count(*) OVER () c, sum(strlen(v)) OVER (ORDER BY k) acc FROM n WHERE v NOT LIKE '%B%') SELECT acc::BIGINT AS acc FROM f WHERE (rn%5000=0 OR rn=c) AND acc > 40000")
+def program_xml_fold(spark, d):
+    docs = [f"<name>{n}</name>" for n in NAMES]
+    step = Flow(spark, par=2).source(Cycle(60_000, docs)).map(lambda v: xml.first_text(v, "/name"), takes=XML, gives=STRING).filter(lambda v: ~v.contains("B")).par(4)
+    return step.fold(Fold("sum", lambda v: F.octet_length(v).cast("bigint"))).each(5000).filter(lambda v: v > 40000).values(acc="value")
+
+
+@query("SELECT pos, word FROM (VALUES (1::BIGINT,'AAA'),(2,'BBB'),(3,'CCC'),(4,'DDD'),(5,'EEE'),(6,'FFF'),(7,'GGG'),(8,'HHH')) t(pos,word)")
+def program_scatter_gather(spark, d):
+    step = Flow(spark).source(Items(["aaa\tbbb", "ccc", "ddd\teee\tfff", "ggg", "hhh"])).flat_map(lambda v: basic.literal_split(v, "\t")).par(4)
+    step = step.spread(3).code(STRING).map(F.upper).par(4).gather().code(STRING)
+    return step.numbered().select(F.col("rn").alias("pos"), F.col("value").alias("word"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events through a map and a filter to a running sum, emitted at each 100."""
+    step = _events(spark, sf_dir).map(lambda v: v + 1).filter(lambda v: v % 3 != 0)
+    return step.fold(Fold("sum", lambda v: v)).each(100).values(emit_no="k0", uniq="uniq", acc="value")
+
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id")
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(FOUND)
 
 
-def queries():
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
 
 
-def oracle_sql():
-    return {}
+__all__ = ["flagship", "oracle_sql", "queries"]
