@@ -1,58 +1,17 @@
-"""Reading tables, cutting lineage and passing models to workers."""
+"""Reading tables, choosing labelled documents; what cuts lineage comes from the library."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brookline.scratch import Scratch, shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; one of our own only where none is set."""
-    sc = spark.sparkContext
-    at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = sc.getCheckpointDir()
-    if not at:
-        at = "file://" + tempfile.mkdtemp(prefix="brookline-")
-        sc.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-class Scratch:
-    """Written tables that cut lineage: a lost executor costs the tasks it ran, no more."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.kept = spark, f"{shared_dir(spark)}/{uuid.uuid4().hex}", {}
-
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        at = f"{self.base}/{name}-{len(self.kept)}"
-        df.write.mode("overwrite").parquet(at)
-        out = self.spark.read.schema(df.schema).parquet(at)
-        self.kept[id(out)] = at
-        return out
-
-    def sweep(self) -> None:
-        """Let Spark's cleaner see that shuffles of finished steps are unreachable, so that their files go."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete written tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for df in frames:
-            if at := self.kept.pop(id(df), None):
-                path = jvm.org.apache.hadoop.fs.Path(at)
-                path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of a number's text, modulo; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -73,3 +32,5 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, pe
     chosen = picked[0].unionByName(picked[1])
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     return texts.join(F.broadcast(chosen), "doc_id")
+
+__all__ = ["Scratch", "labelled", "remainder", "shared_dir", "table"]
