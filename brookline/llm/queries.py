@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookline.llm import contamination, lattice, near, pii, quality, repeats, tokens, toxicity, urls
+from brookline.llm import contamination, images, lattice, near, pii, quality, repeats, tokens, toxicity, urls
 from brookline.llm.shared import remainder, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -58,6 +58,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path(), limit=4096)
 
 
+def op9_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return images.image_copies(images.rasters(table(spark, sf_dir, "embeddings")))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), "quality", remainder("doc_id", 4) != 2)
@@ -65,7 +69,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_substring_dedup, op3_pii, op4_url_filters, op5_sentencepiece, op6_minhash_near_dedup, op7_decontamination, op8_token_counts, op10_quality)
+    found = (op1_toxicity, op2_substring_dedup, op3_pii, op4_url_filters, op5_sentencepiece, op6_minhash_near_dedup, op7_decontamination, op8_token_counts, op9_image_copies, op10_quality)
     return {f.__name__: f for f in found}
 
 
