@@ -251,7 +251,7 @@ def limit_flatmap(spark, d):
     return _root(spark, d, "orders", "o_orderkey", "o_orderkey", LONG).flat_map(upto).limit(37).values(o_orderkey="k0", i="value")
 
 
-@query("SELECT (i*1000)::BIGINT AS n FROM range(1,4) t(i)")
+@query("SELECT (i*1000)::BIGINT AS n FROM range(1, 1+(SELECT count(*)//1000 FROM events)) t(i) ORDER BY n LIMIT 3")
 def limit_fold(spark, d):
     return _events(spark, d).count().each(1000).limit(3).values(n="value")
 
