@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brookline.llm import contamination, images, lattice, near, pii, quality, repeats, tokens, toxicity, urls
+from brookline.llm import contamination, images, lattice, near, pii, quality, repeats, sql, tokens, toxicity, urls
 from brookline.llm.shared import remainder, table
 
 TOKENIZER = "piece_bpe_32k.model"
@@ -74,4 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on a trained model, a library's pieces or greedy tilings; tests/llm holds them against brute force."""
+    return {"op2_substring_dedup": sql.SUBSTRING_DEDUP, "op6_minhash_near_dedup": sql.NEAR_DEDUP}
