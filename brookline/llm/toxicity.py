@@ -21,7 +21,8 @@ gives the score.
 
 Whole texts are read; a token longer than WIDE is cut into overlapping windows. Defined
 results: a row for every input row; null and empty texts get the score of a text with no
-token; without label-1 examples every score is the same. Repeated rows score equally; extra
+token; without examples of both labels, or tokens that tell them apart, every score is 0.018, so
+that nothing is rejected. Repeated rows score equally; extra
 columns are ignored.
 """
 
@@ -317,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_cla
         single = sample.groupBy("copy", "label").agg(F.min_by("tokens", "doc_id").alias("tokens")).persist()
         count = {r["label"]: r["n"] for r in single.groupBy("label").agg(F.count("*").alias("n")).collect()}
         positive, negative = count.get(1, 0), count.get(0, 0)
-        flat = Model(np.zeros(TABLE, np.float32), -1.0, np.array([0.0, 0.0, 0.0, 0.0, 0.0, float(np.log((positive + 0.5) / (negative + 0.5)))]))
+        flat = Model(np.zeros(TABLE, np.float32), -1.0, np.array([0.0, 0.0, 0.0, 0.0, 0.0, -4.0]))
         if not positive or not negative:
             return flat
         by = single.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("q")).persist()
