@@ -352,7 +352,7 @@ def _sequential(df: DataFrame, keys: list[str], fn: Callable, init: Any, gives:
             yield pd.DataFrame([(emitted + 1, last[0], state, last[1])], columns=["k0", "ts", "value", "uniq"]).astype({"ts": "datetime64[ns]"})
 
     kind = df.schema[keys[0]].dataType.simpleString()
-    one = df.orderBy(*keys).select(F.col(keys[0]).alias("key"), "ts", "value").coalesce(1)
+    one = df.select(*keys, "ts", "value").repartition(1).sortWithinPartitions(*keys).select(F.col(keys[0]).alias("key"), "ts", "value")
     return one.mapInPandas(run, f"k0 bigint, ts timestamp, value {gives.ddl}, uniq {kind}")
 
 
