@@ -15,7 +15,8 @@ pair where the sketches' bits agree (a filter of more than five standard deviati
 are confirmed on the full sets, so no link is accepted on a sketch; at the threshold a link
 is missed with a probability of about 6e-11 by banding (0.85) and 1e-7 by the filter.
 
-Texts of candidates only are shuffled. Groups of copies collapse before the banding, minima
+Texts of candidates only are shuffled; up to a million of their ids go to the scan as a broadcast,
+more meet it in a shuffle. Groups of copies collapse before the banding, minima
 are combined map-side, and hot buckets are split by adaptive skew joins.
 
 Defined results: a row for every input row. Null and empty texts have no shingles and are
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from brookline.llm import text as T
 from brookline.llm.graph import components as connected
-from brookline.llm.shared import Scratch
+from brookline.llm.shared import Scratch, small
 
 COORDINATES, WIDTH = 128, 4
 U = np.uint64
@@ -144,8 +145,8 @@ class _Links:
 
     def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
         """A written table of the links among the pairs."""
-        ids = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
-        texts = self.scratch.keep(self.docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-texts")
+        ids = self.scratch.keep(pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct(), f"{name}-ids")
+        texts = self.scratch.keep(self.docs.join(small(ids), "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-texts")
         one = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
         two = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
         joined = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b")
@@ -198,8 +199,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The documents, with all their columns: of each group of near-duplicates the one with the smallest id (of rows that repeat an id, one)."""
     found = near_duplicates(docs, n, percent)
-    gone = found.where("not kept").select("doc_id").distinct()
-    stay = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = Scratch(docs.sparkSession).keep(found.where("not kept").select("doc_id").distinct(), "gone")
+    stay = docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
     if docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         named = stay.where("doc_id is not null").dropDuplicates(["doc_id"])
         return named.unionByName(stay.where("doc_id is null"))

@@ -12,6 +12,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL = 1 << 20
+
+
+def small(ids: DataFrame, rows: int = SMALL) -> DataFrame:
+    """A written table of narrow rows, marked for a broadcast if it has few enough; otherwise a join with it shuffles."""
+    return F.broadcast(ids) if ids.count() <= rows else ids
+
+
 def remainder(column: str, modulus: int) -> Column:
     """crc32 of a number's text, modulo; null for null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -33,4 +41,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, pe
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     return texts.join(F.broadcast(chosen), "doc_id")
 
-__all__ = ["Scratch", "labelled", "remainder", "shared_dir", "table"]
+__all__ = ["Scratch", "labelled", "remainder", "shared_dir", "small", "table"]
