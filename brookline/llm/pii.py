@@ -6,7 +6,7 @@ possessive quantifiers and look-behinds, so that a long run of one class is read
 find what the plain ones in SPEC find. Offsets come from splitting a text at its matches.
 
 Bootstrap: base entities are the seeds. Their neighbours, the word before and the word after
-with the entity's shape (letters as a, digits as 9, runs shortened), are lexical patterns.
+with the entity's sort (with an at sign, without letters, mixed), are lexical patterns.
 Other tokens with a digit or an at sign are unlabelled instances. Patterns and instances form a
 bipartite graph of counted edges, scored in ROUNDS rounds: a pattern's confidence for a kind is
 the share of its instances' scores, smoothed by SMOOTH; an instance's score is the highest
@@ -14,8 +14,8 @@ confidence among its patterns; seeds keep 1. A token that a pattern of CONFIDENC
 least SUPPORT different seeds) surrounds is found as that kind, unless base spans overlap it.
 
 Counts are combined map-side before the shuffle; a word that surrounds a third of all entities
-is one row per distinct token. What is accepted joins back on a row number written with the
-base spans, so texts aren't shuffled.
+is one row per distinct token. What is accepted joins back on hashes of the texts it is in; up to
+131,072 such texts are a broadcast to a second scan, more meet it in a shuffle.
 
 Defined results: a row for every input row; null and empty texts have no spans; repeated rows
 count as often as they occur. Extra columns are ignored.
@@ -28,7 +28,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookline.llm.shared import Scratch
+from brookline.llm.shared import Scratch, small
 
 KINDS = ("email", "ip", "card", "phone")
 SPEC = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -112,7 +112,8 @@ def base_spans(text: Column) -> dict[str, Column]:
 
 
 def _shape(token: Column) -> Column:
-    return F.substring(F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]+", "9"), r"\p{L}+", "a"), r"(a9|9a){2,}", "*"), 1, 40)
+    """What sort of identifier: with an at sign, without letters, or mixed."""
+    return F.when(F.contains(token, F.lit("@")), "@").when(F.rlike(token, F.lit(r"\p{L}")), "a").otherwise("9")
 
 
 def _word_before(text: Column, start: Column) -> Column:
@@ -144,11 +145,13 @@ def find_pii(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     row = row.withColumn("base", base).withColumn("other", F.filter(other, lambda s: (F.length(s["found"]) >= 6) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     around = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(s["found"], 1, 128).alias("found"), _shape(s["found"]).alias("shape"), _word_before(F.col("text"), s["start"]).alias("before"), _word_after(F.col("text"), s["end"]).alias("after"))
     row = row.withColumn("seen", F.transform(F.concat("base", "other"), around))
-    kept = scratch.keep(row.select("row", "base", "seen", F.monotonically_increasing_id().alias("at")), "base")
+    # Rows are known by two hashes of their text: equal texts have equal spans, and texts needn't be written or shuffled.
+    row = row.withColumn("h1", F.xxhash64("text")).withColumn("h2", F.xxhash64(F.lit("again"), F.col("text")))
+    kept = scratch.keep(row.where(F.size("seen") > 0).select("h1", "h2", "seen"), "seen")
 
     found = discover(kept, scratch)
-    out = kept.join(found, "at", "left") if found is not None else kept.withColumn("more", F.array().cast(SPAN))
-    out = out.withColumn("more", F.coalesce("more", F.array().cast(SPAN)))
+    none = F.array().cast(SPAN)
+    out = row.drop("seen", "other").join(small(found, 1 << 17), ["h1", "h2"], "left").withColumn("more", F.coalesce("more", none)) if found is not None else row.withColumn("more", none)
     every = F.concat("base", "more")
     spans = F.concat(*(_by_start(_of_kind(every, k)) for k in KINDS))
     counts = [F.size(_of_kind(F.col("base"), k)).cast("long").alias(f"n_{k}") for k in KINDS]
@@ -156,11 +159,11 @@ def find_pii(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 
 
 def discover(kept: DataFrame, scratch: Scratch) -> DataFrame | None:
-    """at, more: the spans that confident patterns add to each row; None if there are none."""
-    one = kept.select("at", F.explode("seen").alias("s")).select("at", "s.*")
+    """h1, h2, more: the spans that confident patterns add to each row; None if there are none."""
+    one = kept.select("h1", "h2", F.explode("seen").alias("s")).select("h1", "h2", "s.*")
     sides = F.array(F.struct(F.lit("<").alias("side"), F.col("before").alias("word")), F.struct(F.lit(">").alias("side"), F.col("after").alias("word")))
-    edges = one.select("at", "kind", "start", "end", "found", "shape", F.explode(sides).alias("w")).where("w.word <> ''").withColumn("pattern", F.concat_ws(" ", "w.side", "w.word", "shape"))
-    edges = scratch.keep(edges.select("at", "kind", "start", "end", "found", "pattern"), "edges")
+    edges = one.select("h1", "h2", "kind", "start", "end", "found", "shape", F.explode(sides).alias("w")).where("w.word <> ''").withColumn("pattern", F.concat_ws(" ", "w.side", "w.word", "shape"))
+    edges = scratch.keep(edges.select("h1", "h2", "kind", "start", "end", "found", "pattern"), "edges")
     graph = scratch.keep(edges.groupBy("pattern", "found", "kind").agg(F.count("*").alias("n")), "graph")
     score = None
     for _ in range(ROUNDS):
@@ -176,8 +179,9 @@ def discover(kept: DataFrame, scratch: Scratch) -> DataFrame | None:
     sure = trust.where(F.col("confidence") >= CONFIDENCE)
     if not sure.limit(1).count():
         return None
-    hit = edges.where("kind = ''").join(sure, "pattern").groupBy("at", "start", "end").agg(F.max(F.struct("confidence", "as")).alias("t"), F.min("found").alias("found"))
-    return hit.groupBy("at").agg(F.collect_list(F.struct(F.col("t.as").alias("kind"), "start", "end", "found")).alias("more"))
+    hit = edges.where("kind = ''").join(sure, "pattern").groupBy("h1", "h2", "start", "end").agg(F.max(F.struct("confidence", "as")).alias("t"), F.min("found").alias("found"))
+    more = F.collect_set(F.struct(F.col("t.as").alias("kind"), "start", "end", "found")).alias("more")
+    return scratch.keep(hit.groupBy("h1", "h2").agg(more), "found")
 
 
 def redact(docs: DataFrame) -> DataFrame:
