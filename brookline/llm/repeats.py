@@ -12,7 +12,7 @@ words in it with the smallest hash, leftmost if tied. Equal windows have equal a
 3. windows in documents other than the owner go back to their documents, and the words they
    cover are removed.
 
-An automaton has the phrases of about two megabytes of text, however large the corpus. A
+An automaton has the phrases of about a megabyte of text, however large the corpus. A
 window is compared by a 64-bit hash of its word sequence. Groups of any size cost one row for
 each occurrence; nothing is paired, and hot windows are split by adaptive skew joins.
 
