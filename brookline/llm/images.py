@@ -35,7 +35,7 @@ from brookline.llm.shared import Scratch
 
 SCALES, PER_SCALE, STACK = (1.0, 0.7071, 0.5), 40, 64
 BITS, TABLES, RADIUS, TURNS = 256, 4, 10, 30
-MATCH, INLIERS, NEAR, KEYS = 40, 10, 2.0, 3
+MATCH, INLIERS, NEAR, KEYS = 40, 14, 2.0, 3
 _r = np.random.Generator(np.random.PCG64(7))
 PATTERN = np.clip(_r.normal(0, RADIUS / 2, (BITS, 4)), -RADIUS, RADIUS)
 _t = np.arange(TURNS)[:, None] * (2 * np.pi / TURNS)
