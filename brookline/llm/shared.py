@@ -8,7 +8,17 @@ from pyspark.sql import functions as F
 from brookline.scratch import Scratch, shared_dir
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Arrow batches of at most 8 MB, which both the JVM and the worker hold, unless the session says other than Spark's 64."""
+    if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(BATCH, str(8 << 20))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,4 +51,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, pe
     texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     return texts.join(F.broadcast(chosen), "doc_id")
 
-__all__ = ["Scratch", "labelled", "remainder", "shared_dir", "small", "table"]
+__all__ = ["Scratch", "bounded", "labelled", "remainder", "shared_dir", "small", "table"]

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from brookline.llm import contamination, lattice, near, pii, toxicity
 from brookline.llm.queries import tokenizer_path
-from brookline.llm.shared import Scratch, table
+from brookline.llm.shared import Scratch, bounded, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked at a similarity of 0.8 over shingles of five words, the one with the smallest id stays."""
+    bounded(spark)
     return near.drop_near_duplicates(docs, n=5, percent=80)
 
 
@@ -39,6 +40,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces, and whether they decode to its text, beside its columns."""
+    bounded(spark)
     return lattice.encode_documents(docs, tokenizer_path(), keep=True).drop("decoded")
 
 
