@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from brookline.llm import text as T
 from brookline.llm.graph import components as connected
-from brookline.llm.shared import Scratch
+from brookline.llm.shared import Scratch, small
 
 SCALES, PER_SCALE, STACK = (1.0, 0.7071, 0.5), 40, 64
 BITS, TABLES, RADIUS, TURNS = 256, 4, 10, 30
@@ -275,18 +275,23 @@ def image_copies(images: DataFrame, image: str = "image") -> DataFrame:
     """image_id, n_corners, class_id (smallest id reachable over confirmed links and equal pixels), kept (it is that one)."""
     scratch = Scratch(images.sparkSession)
     seen = scratch.keep(images.select("image_id", image).mapInArrow(_features, "image_id long, pixels long, shape long, n_corners long, spots binary, bits binary, keys array<long>"), "features")
-    one = F.min_by(F.struct("spots", "bits", "keys"), "image_id").alias("f")
-    classes = scratch.keep(seen.where("image_id is not null and pixels is not null").groupBy("pixels", "shape").agg(F.min("image_id").alias("rep"), one).select("pixels", "shape", "rep", "f.*"), "classes")
-    members = classes.select("rep", F.explode("keys").alias("key"))
+    classes = scratch.keep(seen.where("image_id is not null and pixels is not null").groupBy("pixels", "shape").agg(F.min("image_id").alias("rep")), "classes")
+    reps = scratch.keep(classes.select(F.col("rep").alias("image_id")).distinct(), "reps")
+    members = seen.join(small(reps), "image_id", "left_semi").select(F.col("image_id").alias("rep"), F.explode("keys").alias("key"))
     ends = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     shared = scratch.keep(members.join(ends, "key"), "buckets")
     stars = shared.select("key", "rep", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).where("rep <> end")
     stars = scratch.keep(stars.select(F.least("rep", "end").alias("u"), F.greatest("rep", "end").alias("v"), "key").groupBy("u", "v").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= KEYS).select("u", "v"), "stars")
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda c, s, b: classes.select(F.col("rep").alias(c), F.col("spots").alias(s), F.col("bits").alias(b))
+        ids = scratch.keep(pairs.select(F.explode(F.array("u", "v")).alias("image_id")).distinct(), f"{name}-ids")
+        own = scratch.keep(seen.join(small(ids), "image_id", "left_semi").select("image_id", "spots", "bits").dropDuplicates(["image_id"]), f"{name}-features")
+        side = lambda c, s, b: own.select(F.col("image_id").alias(c), F.col("spots").alias(s), F.col("bits").alias(b))
         both = pairs.join(side("u", "sa", "ba"), "u").join(side("v", "sb", "bb"), "v").select("u", "v", "sa", "ba", "sb", "bb")
-        return scratch.keep(both.mapInArrow(_confirm, "u long, v long"), name)
+        out = scratch.keep(both.mapInArrow(_confirm, "u long, v long"), name)
+        scratch.drop(ids, own)
+        scratch.sweep()
+        return out
 
     found = confirmed(stars, "links")
     joined = connected(found, scratch)
