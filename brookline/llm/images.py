@@ -2,9 +2,11 @@
 
 Corners are found at several scales of the grey image (Harris response, local maxima). Each has
 an orientation, the direction of its patch's centroid of intensity, and BITS binary tests of
-smoothed brightness on a fixed pattern turned by that orientation. The bits, cut into TABLES keys
-of 64, are the Hamming tables: descriptors that differ in fewer bits than there are tables share
-a key for certain, and of the many of two pictures of one scene enough do. Pictures that share KEYS keys or more are candidates, and a candidate is confirmed by
+smoothed brightness on a fixed pattern turned by that orientation. All local maxima count, so
+corners are in proportion to a picture's area and a crop keeps its share of them. Each of TABLES
+Hamming tables reads PART drawn bits: descriptors of which f bits differ share a given key with a
+chance of (1 - f / BITS) ** PART, and of the many of two pictures of one scene enough do (README has
+the measured recall). Pictures that share KEYS keys or more are candidates, and a candidate is confirmed by
 geometric consensus: mutual nearest descriptors within MATCH bits vote for similarity transforms
 (one match fixes one: scales, orientations and places), and the best must carry INLIERS matches.
 
@@ -33,9 +35,13 @@ from brookline.llm import text as T
 from brookline.llm.graph import components as connected
 from brookline.llm.shared import Scratch, small
 
-SCALES, PER_SCALE, STACK = (1.0, 0.7071, 0.5), 40, 64
-BITS, TABLES, RADIUS, TURNS = 256, 4, 10, 30
-MATCH, INLIERS, NEAR, KEYS = 40, 14, 2.0, 3
+SCALES, STACK = (1.0, 0.7071, 0.5), 64
+BITS, TABLES, PART, RADIUS, TURNS = 256, 16, 40, 10, 30
+MATCH, INLIERS, NEAR, KEYS = 40, 14, 2.0, 1
+#: Bytes of features that a block of pictures has on average; pairs are confirmed by pairs of blocks.
+BLOCK = 2 << 20
+#: The bits of each Hamming table.
+DRAWN = np.stack([np.random.Generator(np.random.PCG64(100 + k)).permutation(BITS)[:PART] for k in range(TABLES)])
 _r = np.random.Generator(np.random.PCG64(7))
 PATTERN = np.clip(_r.normal(0, RADIUS / 2, (BITS, 4)), -RADIUS, RADIUS)
 _t = np.arange(TURNS)[:, None] * (2 * np.pi / TURNS)
@@ -179,8 +185,6 @@ def describe_all(images: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         n, y, x = np.nonzero((response == _highest(response)) & (response > least))
         order = np.lexsort((x, y, -response[n, y, x], n))
         n, y, x = n[order], y[order], x[order]
-        rank = np.arange(len(n)) - np.searchsorted(n, n)
-        n, y, x = (v[rank < PER_SCALE] for v in (n, y, x))
         if not len(n):
             continue
         smooth = np.pad(_box(a, 1), [(0, 0), (16, 16), (16, 16)], mode="reflect" if min(a.shape[1:]) > 16 else "edge")
@@ -208,36 +212,47 @@ def table_keys(bits: np.ndarray) -> list[int]:
     """One key for each Hamming table and distinct part of a picture's descriptors."""
     if not len(bits):
         return []
-    parts = np.ascontiguousarray(bits).view(np.uint64)
-    keys = T.mix(parts * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64) + T.mix(parts))
-    return np.unique(keys).view(np.int64).tolist()
+    parts = np.unpackbits(bits, axis=1)[:, DRAWN] @ (np.uint64(1) << np.arange(PART, dtype=np.uint64))
+    return np.unique(T.mix(parts * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64))).view(np.int64).tolist()
 
 
 def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
-    """How many matches the best similarity transform carries."""
+    """How many matches the best similarity transform carries; the search ends at one that carries INLIERS."""
     (sa, ba), (sb, bb) = a, b
     if len(sa) < INLIERS or len(sb) < INLIERS:
         return 0
     ua, ub = (np.unpackbits(x, axis=1).astype(np.float32) * 2 - 1 for x in (ba, bb))
-    apart = (BITS - ua @ ub.T) / 2
-    to, back = apart.argmin(1), apart.argmin(0)
-    i = np.flatnonzero((back[to] == np.arange(len(sa))) & (apart[np.arange(len(sa)), to] <= MATCH))
+    to, least = np.zeros(len(sa), int), np.zeros(len(sa))
+    back, lowest = np.zeros(len(sb), int), np.full(len(sb), np.inf)
+    for at in range(0, len(sa), 1024):  # large pictures have thousands of corners
+        apart = (BITS - ua[at : at + 1024] @ ub.T) / 2
+        to[at : at + 1024], least[at : at + 1024] = apart.argmin(1), apart.min(1)
+        low = apart.min(0)
+        back, lowest = np.where(low < lowest, at + apart.argmin(0), back), np.minimum(low, lowest)
+    i = np.flatnonzero((back[to] == np.arange(len(sa))) & (least <= MATCH))
     if len(i) < INLIERS:
         return 0
     j = to[i]
     za, zb = sa[i, 0] + 1j * sa[i, 1], sb[j, 0] + 1j * sb[j, 1]
     factor = (sa[i, 2] / sb[j, 2]) * np.exp(1j * (sb[j, 3] - sa[i, 3]))
-    moved = factor[:, None] * za + (zb - factor * za)[:, None]
-    best = int((np.abs(moved - zb) < NEAR).sum(1).max())
-    gap = np.abs(za[:, None] - za)
-    ok = gap > 8  # two matches fix a transform more exactly than one
-    with np.errstate(divide="ignore", invalid="ignore"):
-        pair = (zb[:, None] - zb) / (za[:, None] - za)
-    p, q = np.nonzero(ok & (np.abs(np.abs(pair) * (sb[j, 2] / sa[i, 2]) - 1) < 0.5))
-    for at in range(0, len(p), 512):
-        f = pair[p[at : at + 512], q[at : at + 512]]
-        move = f[:, None] * za + (zb[p[at : at + 512]] - f * za[p[at : at + 512]])[:, None]
-        best = max(best, int((np.abs(move - zb) < NEAR).sum(1).max()))
+    best = 0
+
+    def carried(f: np.ndarray, k: np.ndarray) -> int:
+        return int((np.abs(f[:, None] * za + (zb[k] - f * za[k])[:, None] - zb) < NEAR).sum(1).max())
+
+    for at in range(0, len(i), 512):
+        best = max(best, carried(factor[at : at + 512], np.arange(at, min(at + 512, len(i)))))
+        if best >= INLIERS:
+            return best
+    for p in range(len(i)):  # two matches fix a transform more exactly than one
+        gap = za[p] - za
+        q = np.flatnonzero(np.abs(gap) > 8)
+        f = (zb[p] - zb[q]) / gap[q]
+        f = f[np.abs(np.abs(f) * (sb[j[p], 2] / sa[i[p], 2]) - 1) < 0.5]
+        for at in range(0, len(f), 512):
+            best = max(best, carried(f[at : at + 512], np.full(len(f[at : at + 512]), p)))
+        if best >= INLIERS:
+            return best
     return best
 
 
@@ -263,12 +278,11 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    unpack = lambda s, b: (np.frombuffer(s, np.float32).reshape(-1, 4).astype(np.float64), np.frombuffer(b, np.uint8).reshape(-1, BITS // 8))
-    for batch in batches:
-        sa, ba, sb, bb = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
-        ok = pa.array([consensus(unpack(sa[k], ba[k]), unpack(sb[k], bb[k])) >= INLIERS for k in range(batch.num_rows)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], ["u", "v"])
+def _confirm(pairs: pa.Table, features: pa.Table) -> pa.Table:
+    spots, bits = (features.column(k).to_pylist() for k in ("spots", "bits"))
+    own = {i: (np.frombuffer(s, np.float32).reshape(-1, 4).astype(np.float64), np.frombuffer(b, np.uint8).reshape(-1, BITS // 8)) for i, s, b in zip(features.column("image_id").to_pylist(), spots, bits)}
+    pairs = pairs.select(["u", "v"])
+    return pairs.filter(pa.array([consensus(own[u], own[v]) >= INLIERS for u, v in zip(*(c.to_pylist() for c in pairs.columns))], pa.bool_()))
 
 
 def image_copies(images: DataFrame, image: str = "image") -> DataFrame:
@@ -286,9 +300,13 @@ def image_copies(images: DataFrame, image: str = "image") -> DataFrame:
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         ids = scratch.keep(pairs.select(F.explode(F.array("u", "v")).alias("image_id")).distinct(), f"{name}-ids")
         own = scratch.keep(seen.join(small(ids), "image_id", "left_semi").select("image_id", "spots", "bits").dropDuplicates(["image_id"]), f"{name}-features")
-        side = lambda c, s, b: own.select(F.col("image_id").alias(c), F.col("spots").alias(s), F.col("bits").alias(b))
-        both = pairs.join(side("u", "sa", "ba"), "u").join(side("v", "sb", "bb"), "v").select("u", "v", "sa", "ba", "sb", "bb")
-        out = scratch.keep(both.mapInArrow(_confirm, "u long, v long"), name)
+        # A picture's features go once to each pair of blocks that needs them, not once to each of its pairs.
+        weight = own.agg(F.sum(F.octet_length("spots") + F.octet_length("bits"))).first()[0] or 0
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(weight // BLOCK + 1))
+        placed = pairs.select("u", "v", block("u").alias("bu"), block("v").alias("bv"))
+        needed = placed.select(F.col("bu").alias("nu"), F.col("bv").alias("nv"), F.explode(F.array("u", "v")).alias("image_id")).distinct().join(own, "image_id")
+        both = placed.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv"))
+        out = scratch.keep(both.applyInArrow(_confirm, "u long, v long"), name)
         scratch.drop(ids, own)
         scratch.sweep()
         return out

@@ -3,6 +3,7 @@
 import hashlib
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,20 @@ def test_stages(spark, docs, labels, none, stage, tmp_path):
         out = fn(spark, frame, d)
         assert out.columns[: len(docs.columns)] == docs.columns
         out.write.parquet(f"{d}/{name}-{frame is none}")
+
+
+def test_crops_and_rescaled_pictures_are_linked(spark):
+    """A tenth of a photo has fewer than 14 of its strongest corners, and a rescaled picture hardly a long key in common with the original."""
+    r = np.random.default_rng(1)
+
+    def photo(n):
+        f = np.fft.fftfreq(n)
+        a = np.real(np.fft.ifft2(np.fft.fft2(r.normal(size=(n, n))) / (np.hypot(f[:, None], f) + 1 / n) ** 1.2))
+        return np.rint(np.clip(128 + 48 * (a - a.mean()) / a.std(), 0, 255)).astype(np.uint8)
+
+    pgm = lambda a: b"P5 %d %d 255\n" % a.shape[::-1] + a.tobytes()
+    large, small = photo(256), photo(192)
+    rescaled = np.rint(images._resized(small.astype(np.float32), 0.8)).astype(np.uint8)
+    rows = [(1, pgm(large)), (2, pgm(large[150:231, 30:111])), (3, pgm(small)), (4, pgm(rescaled)), (5, pgm(photo(128)))]
+    got = {x["image_id"]: x["class_id"] for x in images.image_copies(spark.createDataFrame(rows, "image_id bigint, image binary")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
