@@ -302,7 +302,7 @@ def image_copies(images: DataFrame, image: str = "image") -> DataFrame:
         own = scratch.keep(seen.join(small(ids), "image_id", "left_semi").select("image_id", "spots", "bits").dropDuplicates(["image_id"]), f"{name}-features")
         # A picture's features go once to each pair of blocks that needs them, not once to each of its pairs.
         weight = own.agg(F.sum(F.octet_length("spots") + F.octet_length("bits"))).first()[0] or 0
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(weight // BLOCK + 1))
+        block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(weight // BLOCK + 1, 8)))
         placed = pairs.select("u", "v", block("u").alias("bu"), block("v").alias("bv"))
         needed = placed.select(F.col("bu").alias("nu"), F.col("bv").alias("nv"), F.explode(F.array("u", "v")).alias("image_id")).distinct().join(own, "image_id")
         both = placed.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv"))
