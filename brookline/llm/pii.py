@@ -7,11 +7,11 @@ find what the plain ones in SPEC find. Offsets come from splitting a text at its
 
 Bootstrap: base entities are the seeds. Their neighbours, the word before and the word after
 with the entity's sort (with an at sign, without letters, mixed), are lexical patterns.
-Other tokens with a digit or an at sign are unlabelled instances. Patterns and instances form a
+Other tokens with a digit or an at sign, and runs of neighbouring tokens with a digit, are unlabelled instances. Patterns and instances form a
 bipartite graph of counted edges, scored in ROUNDS rounds: a pattern's confidence for a kind is
 the share of its instances' scores, smoothed by SMOOTH; an instance's score is the highest
 confidence among its patterns; seeds keep 1. A token that a pattern of CONFIDENCE or more (at
-least SUPPORT different seeds) surrounds is found as that kind, unless base spans overlap it.
+least SUPPORT different seeds, or instances accepted in the round before) surrounds is found as that kind, unless base spans overlap it.
 
 Counts are combined map-side before the shuffle; a word that surrounds a third of all entities
 is one row per distinct token. What is accepted joins back on hashes of the texts it is in; up to
@@ -39,6 +39,8 @@ FAST = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TOKEN = r"(?<!\S)(?=\S*[0-9@])\S++"
+#: Neighbouring tokens with a digit, one space between, none but the last ending in punctuation.
+RUN = r"(?<!\S)(?=\S*[0-9])\S++(?:(?<![.,;:!?])\x20(?=\S*[0-9])\S++)++"
 ROUNDS, CONFIDENCE, SUPPORT, SMOOTH, NEAR = 3, 0.9, 10, 2, 64
 
 
@@ -141,7 +143,7 @@ def find_pii(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         lead = F.length(F.regexp_extract(s["found"], r"^[(\[\"'<]+", 0))
         return F.struct(s["kind"].alias("kind"), (s["start"] + lead).alias("start"), (s["start"] + lead + F.length(F.regexp_replace(s["found"], trim, ""))).alias("end"), F.regexp_replace(s["found"], trim, "").alias("found"))
 
-    other = F.when(F.rlike("text", F.lit("[0-9@]")), F.transform(_spans(F.col("text"), TOKEN, ""), bare)).otherwise(F.array().cast(SPAN))
+    other = F.when(F.rlike("text", F.lit("[0-9@]")), F.transform(F.concat(_spans(F.col("text"), TOKEN, ""), _spans(F.col("text"), RUN, "")), bare)).otherwise(F.array().cast(SPAN))
     row = row.withColumn("base", base).withColumn("other", F.filter(other, lambda s: (F.length(s["found"]) >= 6) & ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))))
     around = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.substring(s["found"], 1, 128).alias("found"), _shape(s["found"]).alias("shape"), _word_before(F.col("text"), s["start"]).alias("before"), _word_after(F.col("text"), s["end"]).alias("after"))
     row = row.withColumn("seen", F.transform(F.concat("base", "other"), around))
@@ -172,7 +174,7 @@ def discover(kept: DataFrame, scratch: Scratch) -> DataFrame | None:
         else:
             rated = graph.join(score, "found", "left").withColumn("as", F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("best"))).withColumn("score", F.when(F.col("kind") != "", 1.0).otherwise(F.coalesce("degree", F.lit(0.0))))
         total = rated.groupBy("pattern").agg(F.sum("n").alias("total"))
-        by = rated.where("as is not null").groupBy("pattern", "as").agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.countDistinct(F.when(F.col("kind") != "", F.col("found"))).alias("seeds"))
+        by = rated.where("as is not null").groupBy("pattern", "as").agg(F.sum(F.col("n") * F.col("score")).alias("weight"), F.countDistinct(F.when((F.col("kind") != "") | (F.col("score") >= CONFIDENCE), F.col("found"))).alias("seeds"))
         trust = by.join(total, "pattern").where(F.col("seeds") >= SUPPORT).withColumn("confidence", F.col("weight") / (F.col("total") + SMOOTH))
         trust = scratch.keep(trust.groupBy("pattern").agg(F.max(F.struct("confidence", "as")).alias("t")).select("pattern", "t.confidence", "t.as"), "patterns")
         score = graph.where("kind = ''").join(trust, "pattern").groupBy("found").agg(F.max(F.struct("confidence", "as")).alias("t")).select("found", F.col("t.confidence").alias("degree"), F.col("t.as").alias("best"))
@@ -181,7 +183,10 @@ def discover(kept: DataFrame, scratch: Scratch) -> DataFrame | None:
         return None
     hit = edges.where("kind = ''").join(sure, "pattern").groupBy("h1", "h2", "start", "end").agg(F.max(F.struct("confidence", "as")).alias("t"), F.min("found").alias("found"))
     more = F.collect_set(F.struct(F.col("t.as").alias("kind"), "start", "end", "found")).alias("more")
-    return scratch.keep(hit.groupBy("h1", "h2").agg(more), "found")
+    inside = lambda a, b: (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (b["end"] - b["start"] > a["end"] - a["start"])
+    # Of a run and a token in it the run counts.
+    whole = F.filter("more", lambda a: ~F.exists("more", lambda b: inside(a, b)))
+    return scratch.keep(hit.groupBy("h1", "h2").agg(more).select("h1", "h2", whole.alias("more")), "found")
 
 
 def redact(docs: DataFrame) -> DataFrame:

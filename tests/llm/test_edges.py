@@ -204,3 +204,17 @@ def test_crops_and_rescaled_pictures_are_linked(spark):
     rows = [(1, pgm(large)), (2, pgm(large[150:231, 30:111])), (3, pgm(small)), (4, pgm(rescaled)), (5, pgm(photo(128)))]
     got = {x["image_id"]: x["class_id"] for x in images.image_copies(spark.createDataFrame(rows, "image_id bigint, image binary")).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5}
+
+
+def test_contexts_discover_spaced_identifiers(spark):
+    rows = [(i, f"phone: +44 20 7946 {1000 + i} today") for i in range(200)] + [(900, "phone: 020 7946 0958 today"), (901, "phone: (555) 123-4567 today")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[900] == "phone:7:20" and got[901] == "phone:8:21"
+
+
+def test_discovered_identifiers_support_patterns(spark):
+    rows = [(i, f"phone: +442079461{100 + i} now") for i in range(200)]
+    rows += [(300 + k, f"phone: 02079460{100 + k}") for k in range(12)]
+    rows += [(400 + 12 * n + k, f"ring 02079460{100 + k}") for n in range(4) for k in range(12)] + [(900, "ring 03012345678")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[900] == "phone:5:16"
