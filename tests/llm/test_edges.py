@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from brookline.llm import contamination, images, lattice, near, pii, quality, queries, repeats, tokens, toxicity, urls
 
-DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, rep bigint, label int, word string, component bigint, kind string, row string, base string, at int"
+#: Extra columns are called like those that the operators make or use.
+CLASH = ["n_email", "spans", "span_list", "base_sha256", "ids", "decoded", "exact", "n_tokens", "h1", "h2", "seen", "more", "coverage", "item_id", "k1", "bands", "score"]
+DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, rep bigint, label int, word string, component bigint, kind string, row string, base string, at int, " + ", ".join(f"{c} string" for c in CLASH)
 LONG = "word " * 60_000 + "ends"
 PASSAGE = " ".join(f"p{i}" for i in range(60))
 TEXTS = [
@@ -30,7 +32,7 @@ TEXTS = [
     (7, "tiny"),
     (12, "Über ▁ mark <s> 日本 \r\n\x00 end"),
 ]
-ROWS = [(i, t, "en" if k % 3 else None, None if k % 4 else "s", len(t or "") if k % 2 else None, 1, 1, "w", 5, "k", "r", "b", 3) for k, (i, t) in enumerate(TEXTS)]
+ROWS = [(i, t, "en" if k % 3 else None, None if k % 4 else "s", len(t or "") if k % 2 else None, 1, 1, "w", 5, "k", "r", "b", 3, *CLASH) for k, (i, t) in enumerate(TEXTS)]
 LABELS = [(1, 1, 0), (2, 1, 1), (3, None, None), (7, 0, 0), (10, 1, 1), (10, 1, 1), (12, 0, 0), (99, 1, 1), (None, 1, 1)]
 
 
@@ -123,11 +125,14 @@ def test_lattice_documents(docs, none):
 
     sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
     texts = {i: t for i, t in TEXTS if i is not None}
-    got = lattice.encode_documents(docs, queries.tokenizer_path(), keep=True).collect()
+    kept = lattice.encode_documents(docs, queries.tokenizer_path(), keep=True)
+    assert kept.columns == [*docs.columns, "n_tokens_", "ids_", "decoded_", "exact_"]
+    got = kept.collect()
     for r in got:
+        assert [r[c] for c in CLASH] == CLASH
         if r["doc_id"] is not None:
-            assert list(r["ids"]) == sp.encode(texts[r["doc_id"]] or "")
-            assert r["exact"] == ("▁" not in (texts[r["doc_id"]] or ""))
+            assert list(r["ids_"]) == sp.encode(texts[r["doc_id"]] or "")
+            assert r["exact_"] == ("▁" not in (texts[r["doc_id"]] or ""))
     assert len(got) == len(TEXTS) and count(lattice.encode_documents(none, queries.tokenizer_path())) == 0
 
 
@@ -186,6 +191,7 @@ def test_stages(spark, docs, labels, none, stage, tmp_path):
     for frame in (docs, none):
         out = fn(spark, frame, d)
         assert out.columns[: len(docs.columns)] == docs.columns
+        assert all([r[c] for c in CLASH] == CLASH for r in out.select(CLASH).collect())
         out.write.parquet(f"{d}/{name}-{frame is none}")
 
 

@@ -75,6 +75,28 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[200] == got[201] == ""
 
 
+def test_shapes_discover_numbers_that_no_rule_knows(spark):
+    """Sixteen digits that fail the check digit are found by the shape of those that pass; ordinary words and years are left alone."""
+    rng = random.Random(3)
+    words = ["the", "and", "of", "green", "river", "stone", "cloud", "walks"]
+    number = lambda: "".join(rng.choice("0123456789") for _ in range(16))
+    passing = [x for x in (number() for _ in range(2000)) if brute.luhn(x)][:60]
+    failing = [x for x in (number() for _ in range(200)) if not brute.luhn(x)][:40]
+    texts = [" ".join([*rng.choices(words, k=9), x, *rng.choices(words, k=9), "in 2024 of 123456 items"]) for x in passing + failing]
+    texts += [f'some words token = "{rng.getrandbits(160):040x}" and more' for _ in range(30)] + ["then token = 12345678zz, for once", "see 0123456789abcdef0123456789abcdef01234567 there"]
+    got = {r["doc_id"]: [(s.kind, t[s.start : s.end]) for s in r["span_list"]] for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect() for t in [texts[r["doc_id"]]]}
+    assert all(got[i] == [("card", x)] for i, x in enumerate(passing + failing))
+    assert all(len(got[i]) == 1 and got[i][0][0] == "secret" and len(got[i][0][1]) == 40 for i in range(100, 130))
+    assert got[130] == [("secret", "12345678zz")] and got[131] in ([], [("secret", "0123456789abcdef0123456789abcdef01234567")])
+
+
+def test_contexts_of_ordinary_words_find_nothing(spark):
+    """A word that stands before many entities, but before many more ordinary words, is no pattern."""
+    rows = [(i, f"at the +44 20 7946 {1000 + i} and the house by the sea and the hill of the king") for i in range(60)] + [(900, "so the 555123 went")]
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got[0] == "phone:7:23" and got[900] == ""
+
+
 def test_near(spark, rows):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, "op6_minhash_near_dedup")} == brute.near(rows, 3, 85)
 
@@ -140,6 +162,40 @@ def test_lattice_replays_merges(spark, rows):
     assert [w for w in words if got["▁" + w] != sp.encode(w)] == []
 
 
+def test_frequent_words_take_any_place_but_the_first(spark, rows):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    df = spark.createDataFrame([(1, "first\nline  two\tx a a"), (2, "first a " + "y" * 60), (3, None)], "doc_id bigint, text string")
+    got = {r["word"] for r in lattice.frequent_words(df).collect()}
+    assert got == {"\n", "line", "▁▁two\tx", "▁a"}
+    for docs in (df, df.limit(0)):
+        tier = lattice.broadcast_words(docs, queries.tokenizer_path())
+        assert len(tier.keys) == len(tier.size) and tier.size.sum() == len(tier.flat)
+    encoded = {r["word"]: r["ids"] for r in lattice.encode_words(lattice.frequent_words(df), lattice.piece_table(spark, queries.tokenizer_path())).collect()}
+    assert encoded["line"] == sp.encode("\nline")[len(sp.encode("\n")) :] and encoded["\n"] == sp.encode("\n")[-1:]
+
+
+def test_caches_that_overflow_change_nothing(rows, monkeypatch):
+    import pyarrow as pa
+    import sentencepiece
+
+    from brookline.llm import text as T
+
+    monkeypatch.setattr(lattice, "SLOTS", 6)
+    monkeypatch.setattr(lattice, "CACHED", 500)
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.tokenizer_path())
+    rng = random.Random(4)
+    texts = [t for _, t in rows[:60]] + ["".join(rng.choice("ab ▁\n\t éx<s>") for _ in range(rng.randrange(60))) for _ in range(2000)] + [None, "", " "]
+    none = lattice.Tier(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+    encoder = lattice.Encoder(queries.tokenizer_path(), none)
+    for chunk in T.chunks(pa.array(texts, pa.string()), 1 << 13):
+        offsets, ids = encoder.encode(chunk)
+        for r in range(chunk.rows):
+            assert ids[offsets[r] : offsets[r + 1]].tolist() == sp.encode(texts[chunk.first + r] or "")
+        encoder.refresh()
+
+
 def test_lattice_viterbi_is_the_best_path(spark):
     pieces = {"a": -1.0, "b": -1.5, "ab": -2.0, "abc": -2.2, "c": -1.1, "bc": -0.9, "ca": -1.4}
     table_ = spark.createDataFrame([(p, k, s) for k, (p, s) in enumerate(pieces.items())], "piece string, id int, score double")
