@@ -9,18 +9,23 @@ union is an edge with the highest score, leftmost if tied. Characters on no edge
 bytes.
 
 A text is more than its distinct words. Joining every occurrence back to an encoded word moves
-each of them through a shuffle, several times the input, so encode_documents puts only the
-corpus's most frequent words (a parameter) through the lattice, broadcasts the result, and
+each of them through a shuffle, several times the input, so encode_documents puts the corpus's
+most frequent words (ENTRIES of at most WIDEST bytes, parameters; each task sends its own
+PER_TASK heaviest) through the lattice, broadcasts their ids as flat arrays of bounded size, and
 lets workers encode the rest by the library with a bounded cache. Both give the library's ids.
 
-Defined results: a row for every input row; null and empty texts have no ids and decode to an
-empty text. A text decodes to itself, but for the space mark itself, which the library takes for a
-space. Repeated rows are encoded alike; extra columns are ignored or kept, as said.
+Defined results: a row for every input row, an empty table for an empty one; null and empty texts
+have no ids and decode to an empty text. A text decodes to itself, but for the space mark itself,
+which the library takes for a space. Very long texts are read whole, as a chunk of their own.
+Repeated rows are encoded alike. Words that tie in frequency are taken by their hashes, which
+changes no ids. Extra columns are ignored, or kept as they are: where one has the name of a column of
+the method, the method's gets underscores after its name.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,9 @@ from pyspark.sql import functions as F
 from brookline.llm import text as T
 from brookline.llm.tokens import MARK, Lengths, pretokens, processor
 
-LONGEST, ENTRIES, CACHE = 16, 1 << 15, 1 << 19
+LONGEST, ENTRIES, PER_TASK, WIDEST = 16, 1 << 17, 1 << 15, 48
+#: Of a worker's cache: bits of its table, and ids.
+SLOTS, CACHED = 18, 1 << 21
 BPE, UNIGRAM = "bpe", "unigram"
 
 
@@ -122,46 +129,87 @@ def encode_words(words: DataFrame, pieces: DataFrame, kind: str = BPE, first_byt
     return cut.select("word", F.coalesce(of, F.array().cast("array<int>")).alias("ids"))
 
 
-def frequent_words(docs: DataFrame, entries: int = ENTRIES) -> DataFrame:
+def _segments(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places of all elements of the segments [begin, begin + size), one after the other."""
+    stop = np.cumsum(size)
+    return np.repeat(begin - (stop - size), size) + np.arange(stop[-1] if len(stop) else 0)
+
+
+class _Heavy:
+    """Counts of words by hash, with their bytes in one buffer; the rarest go when there are too many."""
+
+    def __init__(self, most: int):
+        self.most = most
+        self.keys, self.times, self.begin, self.size, self.blob = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
+
+    def add(self, keys: np.ndarray, times: np.ndarray, begin: np.ndarray, size: np.ndarray, data: np.ndarray) -> None:
+        new = np.flatnonzero(~np.isin(keys, self.keys))
+        blob = np.concatenate([self.blob, data[_segments(begin[new], size[new])]])
+        begin = np.concatenate([self.begin, len(self.blob) + np.cumsum(size[new]) - size[new]])
+        every, at, where = np.unique(np.concatenate([self.keys, keys[new], keys]), return_index=True, return_inverse=True)
+        counts = np.concatenate([self.times, np.zeros(len(new), np.int64), times])
+        self.times = np.bincount(where, weights=counts, minlength=len(every)).astype(np.int64)
+        self.keys, self.begin, self.size, self.blob = every, begin[at], np.concatenate([self.size, size[new]])[at], blob
+        if len(self.keys) > 4 * self.most:
+            self.keep(self.most)
+
+    def keep(self, n: int) -> None:
+        best = np.sort(np.lexsort((self.keys, -self.times))[:n])
+        self.blob = self.blob[_segments(self.begin[best], self.size[best])]
+        self.keys, self.times, self.size = self.keys[best], self.times[best], self.size[best]
+        self.begin = np.cumsum(self.size) - self.size
+
+    def words(self) -> pa.Array:
+        offsets = np.append(self.begin, len(self.blob)).astype(np.int32)
+        return pa.StringArray.from_buffers(len(self.keys), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(self.blob)))
+
+
+def frequent_words(docs: DataFrame, entries: int = ENTRIES, per_task: int = PER_TASK) -> DataFrame:
     """word, key: the corpus's most frequent words as the lattice takes them (marks for spaces), counted over all documents."""
 
     def heaviest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count: dict[int, list] = {}
+        heavy = _Heavy(per_task)
         for batch in batches:
-            for part, chunk in T.pieces(batch, "text"):
+            for _, chunk in T.pieces(batch, "text"):
                 start, end, h, first = pretokens(chunk)
                 lead = np.zeros(len(h), bool)
                 lead[first[:-1][np.diff(first) > 0]] = True
                 new, at, number = np.unique(h, return_index=True, return_counts=True)
-                for k in np.flatnonzero((number > 1) & (chunk.data[start[at]] == 0x20) & ~lead[at] & (end[at] - start[at] <= 48)).tolist():
-                    x = count.get(int(new[k]))
-                    if x is None:
-                        x = count[int(new[k])] = [0, chunk.data[start[at[k]] : end[at[k]]].tobytes()]
-                    x[0] += int(number[k])
-            if len(count) > 4 * entries:
-                count = dict(sorted(count.items(), key=lambda kv: -kv[1][0])[:entries])
-        top = sorted(count.items(), key=lambda kv: -kv[1][0])[:entries]
-        if top:
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([k for k, _ in top], np.uint64).view(np.int64)), pa.array([v[1].decode("utf-8", "replace").replace(" ", MARK) for _, v in top]), pa.array([v[0] for _, v in top])], ["key", "word", "times"])
+                fit = ~lead[at] & (end[at] - start[at] <= WIDEST)
+                new, at, number = new[fit], at[fit], number[fit]
+                heavy.add(new, number, start[at], end[at] - start[at], chunk.data)
+        heavy.keep(per_task)
+        if len(heavy.keys):
+            yield pa.RecordBatch.from_arrays([pa.array(heavy.keys.view(np.int64)), heavy.words(), pa.array(heavy.times)], ["key", "word", "times"])
+        T.release()
 
     sent = docs.select("text").mapInArrow(heaviest, "key long, word string, times long")
-    return sent.groupBy("key").agg(F.first("word").alias("word"), F.sum("times").alias("times")).orderBy(F.desc("times"), "key").limit(entries).select("key", "word")
+    top = sent.groupBy("key").agg(F.first("word").alias("word"), F.sum("times").alias("times")).orderBy(F.desc("times"), "key").limit(entries)
+    return top.select("key", F.replace("word", F.lit(" "), F.lit(MARK)).alias("word"))
 
 
-class _Ids:
-    """Ids of words by hash: flat, with offsets. The broadcast tier never changes; the other is a bounded cache."""
+class Tier:
+    """Ids of words by hash, sorted; all ids in one array."""
 
-    def __init__(self, keys: np.ndarray, ids: list[np.ndarray]):
+    def __init__(self, keys: np.ndarray, size: np.ndarray, flat: np.ndarray):
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.ids = [ids[i] for i in order.tolist()]
+        begin = np.cumsum(size) - size
+        self.keys, self.size = keys[order], size[order].astype(np.int32)
+        self.flat = flat[_segments(begin[order], size[order])].astype(np.int32)
 
 
 class Encoder:
-    def __init__(self, model: str, tier: _Ids):
-        self.sp, self.tier = processor(model), tier
-        self.slot = Lengths(tier.keys, np.arange(len(tier.keys), dtype=np.int32), CACHE)
-        self.ids: list[np.ndarray] = list(tier.ids)
+    """Ids of chunks: of the broadcast words first, then of what this worker has met. Both are slots of flat arrays of fixed size."""
+
+    def __init__(self, model: str, tier: Tier):
+        self.sp, n = processor(model), len(tier.keys)
+        self.slot = Lengths(tier.keys, np.arange(n, dtype=np.int32), SLOTS)
+        self.own, self.own_ids = n, len(tier.flat)
+        self.size, self.flat = np.zeros(n + (1 << SLOTS), np.int32), np.zeros(len(tier.flat) + CACHED, np.int32)
+        self.begin = np.zeros(len(self.size), np.int32)
+        self.size[:n], self.flat[: len(tier.flat)] = tier.size, tier.flat
+        self.begin[:n] = np.cumsum(tier.size) - tier.size
+        self.used, self.used_ids = n, len(tier.flat)
         self.alone = len(self.sp.encode("\n"))
 
     def encode(self, chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
@@ -169,27 +217,25 @@ class Encoder:
         start, end, h, first = pretokens(chunk)
         if not len(h):
             return np.zeros(chunk.rows + 1, np.int64), np.zeros(0, np.int32)
-        if len(self.ids) > CACHE:
-            self.ids = self.ids[: len(self.tier.keys)]
-            self.slot.tiers[1] = (np.zeros(0, np.uint64), np.zeros(0, np.int32))
         uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
         slot = self.slot.find(uniq)
         miss = np.flatnonzero(slot < 0)
-        data = chunk.data.tobytes()
+        known = slot >= 0
+        size, begin = np.zeros(len(uniq), np.int64), np.zeros(len(uniq), np.int64)
+        size[known], begin[known] = self.size[slot[known]], self.begin[slot[known]]
+        data, flat = chunk.data.tobytes(), self.flat
         if len(miss):
             lead = np.isin(at[miss], first[:-1])
-            got = self._miss([data[s:e] for s, e in zip(start[at[miss]].tolist(), end[at[miss]].tolist())], lead)
-            slot[miss] = np.arange(len(self.ids), len(self.ids) + len(got), dtype=np.int32)
-            self.ids.extend(got)
-            self.slot.add(uniq[miss], slot[miss])
-        own = [self.ids[k] for k in slot.tolist()]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate(own)
-        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+            sizes, ids = self._miss([data[s:e] for s, e in zip(start[at[miss]].tolist(), end[at[miss]].tolist())], lead)
+            size[miss] = sizes
+            if self._remember(uniq[miss], sizes, ids):
+                begin[miss] = self.used_ids - len(ids) + np.cumsum(sizes) - sizes
+            else:  # more than the cache holds, as a very long text can have
+                begin[miss] = len(flat) + np.cumsum(sizes) - sizes
+                flat = np.concatenate([flat, ids])
         count = size[inverse]
-        stop = np.cumsum(count)
-        out = flat[np.repeat(begin[inverse] - (stop - count), count) + np.arange(stop[-1])]
-        offsets = np.concatenate([[0], stop])[first]
+        out = flat[_segments(begin[inverse], count)]
+        offsets = np.concatenate([[0], np.cumsum(count)])[first]
         if b"\xe2\x96\x81" in data:  # texts that have the mark itself go to the library whole
             rows = [out[offsets[r] : offsets[r + 1]] for r in range(chunk.rows)]
             for r in range(chunk.rows):
@@ -198,33 +244,65 @@ class Encoder:
             out, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
         return offsets, out
 
-    def _miss(self, raw: list[bytes], lead: np.ndarray) -> list[np.ndarray]:
-        texts, drop = [], []
-        for x, own in zip(raw, lead.tolist()):
+    def _remember(self, keys: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> bool:
+        """Keep ids behind the last; a full cache begins anew if it can hold them. The ids that the caller reads stay where they are until then."""
+        if self.used + len(keys) > len(self.size) or self.used_ids + len(ids) > len(self.flat):
+            return False
+        to = slice(self.used, self.used + len(keys))
+        self.size[to], self.begin[to] = sizes, self.used_ids + np.cumsum(sizes) - sizes
+        self.flat[self.used_ids : self.used_ids + len(ids)] = ids
+        self.slot.add(keys, np.arange(to.start, to.stop, dtype=np.int32))
+        self.used, self.used_ids = to.stop, self.used_ids + len(ids)
+        return True
+
+    def refresh(self) -> None:
+        """Empty a cache that is nearly full, between chunks."""
+        if self.used > len(self.size) - (1 << SLOTS) // 4 or self.used_ids > len(self.flat) - CACHED // 4:
+            self.used, self.used_ids = self.own, self.own_ids
+            self.slot.forget()
+
+    def _miss(self, raw: list[bytes], lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts, drop = [], np.zeros(len(raw), np.int64)
+        for k, (x, own) in enumerate(zip(raw, lead.tolist())):
             s = x.decode("utf-8", "replace")
             if own:
                 texts.append(s)
-                drop.append(0)
             elif s[:1] == " ":
                 texts.append(s[1:])
-                drop.append(-1 if len(s) == 1 else 0)
+                drop[k] = -1 if len(s) == 1 else 0
             else:
                 texts.append("\n" + s)
-                drop.append(self.alone)
-        space = np.array([self.sp.piece_to_id(MARK)], np.int32)
-        return [space if d < 0 else np.array(ids[d:], np.int32) for d, ids in zip(drop, self.sp.encode(texts, num_threads=1))]
+                drop[k] = self.alone
+        space = [self.sp.piece_to_id(MARK)]
+        ids = [space if d < 0 else x[d:] for d, x in zip(drop.tolist(), self.sp.encode(texts, num_threads=1))]
+        return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32)
 
 
-def encode_documents(docs: DataFrame, model: str, entries: int = ENTRIES, keep: bool = False) -> DataFrame:
-    """doc_id (all columns, if keep), n_tokens, ids, decoded (the text that the ids stand for), exact (it is the text)."""
+def broadcast_words(docs: DataFrame, model: str, entries: int = ENTRIES) -> Tier:
+    """The frequent words through the lattice: at most `entries` of WIDEST bytes come to the driver."""
+    spark = docs.sparkSession
+    tasks = max(8, spark.sparkContext.defaultParallelism)
+    words = frequent_words(docs, entries).repartition(tasks, "word").persist()
+    try:
+        encoded = words.join(encode_words(words, F.broadcast(piece_table(spark, model))), "word").select("key", "ids").toArrow()
+    finally:
+        words.unpersist()
+    ids = encoded["ids"].combine_chunks() if encoded.num_rows else pa.array([], pa.list_(pa.int32()))
+    return Tier(encoded["key"].to_numpy().view(np.uint64), ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False))
+
+
+def encode_documents(docs: DataFrame, model: str, entries: int = ENTRIES, keep: bool = False, decoded: bool = True) -> DataFrame:
+    """doc_id (all columns, if keep), n_tokens, ids, decoded (the text that the ids stand for; left out if so said), exact (it is the text)."""
     spark = docs.sparkSession
-    words = frequent_words(docs, entries).persist()
-    encoded = words.join(encode_words(words, F.broadcast(piece_table(spark, model))), "word").select("key", "ids").toArrow()
-    words.unpersist()
-    keys = encoded["key"].to_numpy().view(np.uint64)
-    tier = spark.sparkContext.broadcast(_Ids(keys, [np.array(x, np.int32) for x in encoded["ids"].to_pylist()]))
+    tier = spark.sparkContext.broadcast(broadcast_words(docs, model, entries))
     columns = docs.columns if keep else ["doc_id"]
-    source = docs if keep else docs.select("doc_id", "text")
+    own = ["n_tokens", "ids", "decoded", "exact"] if decoded else ["n_tokens", "ids", "exact"]
+    made = list(own)
+    for k, name in enumerate(made):
+        while made[k] in columns:
+            made[k] += "_"
+    # In the worker the document's columns are fields of one, so that no names can clash.
+    source = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), "text")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(model, tier.value)
@@ -232,11 +310,12 @@ def encode_documents(docs: DataFrame, model: str, entries: int = ENTRIES, keep:
             for part, chunk in T.pieces(batch, "text"):
                 offsets, ids = encoder.encode(chunk)
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-                decoded = pa.array(encoder.sp.decode([ids[a:b].tolist() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]), pa.string())
-                texts = part.column(part.schema.get_field_index("text")).fill_null("")
-                exact = pc.equal(decoded, texts.cast(pa.string()))
-                own = [part.column(part.schema.get_field_index(c)) for c in columns]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(offsets)), lists, decoded, exact], [*columns, "n_tokens", "ids", "decoded", "exact"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in columns)
-    return source.mapInArrow(scan, f"{kept}, n_tokens long, ids array<int>, decoded string, exact boolean")
+                again = pa.array(encoder.sp.decode([ids[a:b].tolist() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]), pa.string())
+                exact = pc.equal(again, part.column(1).fill_null("").cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), lists, *([again] if decoded else []), exact], ["row", *own])
+                encoder.refresh()
+        T.release()
+
+    kind = source.schema["row"].dataType.simpleString()
+    out = source.mapInArrow(scan, f"row {kind}, n_tokens long, ids array<int>, {'decoded string, ' if decoded else ''}exact boolean")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in columns), *(F.col(c).alias(name) for c, name in zip(own, made)))

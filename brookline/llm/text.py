@@ -9,6 +9,7 @@ size. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -152,6 +153,15 @@ def grams(w: Words, n: int) -> Grams:
     return Grams(row, at, span_hash(prefix(w.hash), at, at + n))
 
 
+def release() -> None:
+    """Give memory that a task no longer uses back to the system, since workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 def pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
     """The batch cut into slices of bounded text, each with its chunk."""
     for chunk in chunks(batch.column(batch.schema.get_field_index(text))):

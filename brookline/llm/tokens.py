@@ -8,11 +8,14 @@ pre-tokens.
 
 Tier one is a compact table, 64-bit hash to length, of the most frequent pre-tokens of
 the corpus; its number of entries is a parameter, so the broadcast has a fixed bound.
-Tier two is a cache of misses in each worker, also bounded. No pre-token is shuffled;
-the pass that finds frequent ones sends each task's own heaviest to be added up.
-
-Nulls and empty texts have 0 bytes and 0 tokens. Repeated rows are counted like any
-other; extra columns are ignored.
+Tier two is a cache of misses in each worker, also bounded. The documents' pre-tokens aren't
+shuffled; the pass that finds frequent ones sends hashes, sizes and counts of each task's own
+heaviest (at most half of the table's entries a task) to be added up.
+
+Defined results: a row for every input row, an empty table for an empty one; null and empty texts
+have 0 bytes and 0 tokens; very long texts are counted whole. Repeated rows are counted like any
+other; extra columns are ignored. Pre-tokens that tie in frequency are taken by their hashes,
+which changes no count.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from brookline.llm import text as T
 
 MARK = "▁"
 FREQUENT = 1 << 16
-CACHE = 1 << 20
+CACHE_BITS = 20
 
 _opened: dict[str, object] = {}
 
@@ -72,31 +75,29 @@ def pretokens(chunk: T.Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 
 class Lengths:
-    """Hash to number of tokens: the broadcast table first, then what this worker has met."""
+    """Hash to a number: the broadcast table first, then what this worker has met, in a table of fixed size where a later key takes the place of an earlier one."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, cache: int = CACHE):
-        self.tiers = [(keys, values), (np.zeros(0, np.uint64), np.zeros(0, np.int32))]
-        self.cache = cache
+    def __init__(self, keys: np.ndarray, values: np.ndarray, bits: int = CACHE_BITS):
+        self.keys, self.values, self.mask = keys, values, np.uint64((1 << bits) - 1)
+        self.met, self.value = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), -1, dtype=np.int32)
-        for have, value in self.tiers:
-            if len(have):
-                at = np.searchsorted(have, keys)
-                at[at == len(have)] = 0
-                hit = have[at] == keys
-                out[hit] = value[at[hit]]
+        """The number of each key, -1 where there is none."""
+        slot = (keys & self.mask).astype(np.int64)
+        out = np.where(self.met[slot] == keys, self.value[slot], np.int32(-1))
+        if len(self.keys):
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            hit = self.keys[at] == keys
+            out[hit] = self.values[at[hit]]
         return out
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
-        have, value = self.tiers[1]
-        if len(have) + len(keys) > self.cache:
-            have, value = have[:0], value[:0]
-        if len(keys) > self.cache:
-            return
-        have, value = np.concatenate([have, keys]), np.concatenate([value, values])
-        order = np.argsort(have)
-        self.tiers[1] = have[order], value[order]
+        slot = (keys & self.mask).astype(np.int64)
+        self.met[slot], self.value[slot] = keys, values
+
+    def forget(self) -> None:
+        self.value[:] = -1
 
 
 def lengths_of(sp, raw: list[bytes], lead: np.ndarray) -> np.ndarray:
