@@ -41,7 +41,7 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document's pieces, and whether they decode to its text, beside its columns."""
     bounded(spark)
-    return lattice.encode_documents(docs, tokenizer_path(), keep=True).drop("decoded")
+    return lattice.encode_documents(docs, tokenizer_path(), keep=True, decoded=False)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
