@@ -3,21 +3,28 @@
 Corners are found at several scales of the grey image (Harris response, local maxima). Each has
 an orientation, the direction of its patch's centroid of intensity, and BITS binary tests of
 smoothed brightness on a fixed pattern turned by that orientation. All local maxima count, so
-corners are in proportion to a picture's area and a crop keeps its share of them. Each of TABLES
-Hamming tables reads PART drawn bits: descriptors of which f bits differ share a given key with a
-chance of (1 - f / BITS) ** PART, and of the many of two pictures of one scene enough do (README has
-the measured recall). Pictures that share KEYS keys or more are candidates, and a candidate is confirmed by
-geometric consensus: mutual nearest descriptors within MATCH bits vote for similarity transforms
-(one match fixes one: scales, orientations and places), and the best must carry INLIERS matches.
-
-Pairs of a bucket are never listed all: pictures with equal pixels form a class at once, each
-class meets its bucket's first and last, and only classes of one bucket that these links leave in
-different components meet each other. Buckets are keyed by table and bits and combined map-side.
-
-Images are bytes of PNG (8 bits a channel, not interlaced), PGM, PPM (binary) or 24-bit BMP.
-Defined results: a row for every input row. Null, empty or unreadable bytes, and pictures
-without corners, have n_corners 0 and are linked with nothing but equal pixels (unreadable: with
-nothing). Rows without an id have a null class_id. Rows that repeat an id are one node.
+corners are in proportion to a picture's area and a crop keeps its share of them.
+
+One corner of a plain texture looks like many others, so a key is made of two: drawn bits of a corner
+and of a neighbour at the same scale, with its distance, direction and orientation as seen
+from the first, in steps. There are two Hamming tables of such keys (TABLES): next neighbours, and
+neighbours whose patches hardly overlap. Pictures that share KEYS keys or more are candidates, by an
+equi-join on the keys, and a candidate is confirmed by geometric consensus: mutual nearest
+descriptors within MATCH bits vote for similarity transforms (one match fixes one: scales,
+orientations and places), and the best must carry INLIERS matches. README has the measured recall.
+
+Pairs of a bucket are never listed all: pictures with equal pixels form a class at once; each
+class then meets that first or last picture of its buckets with which it shares most of them. Only classes that
+these links leave in different components meet each other, a pair of components by its likeliest pair first, and all
+their pairs where none links. Buckets are combined map-side. Only keys are stored for all pictures; candidates are
+described again, and their features go once to each pair of blocks that needs them.
+
+Images are bytes of PNG (8 bits a channel, not interlaced), PGM, PPM (binary) or 24-bit BMP; others, JPEG
+among them, are not readable, and a column says so. Defined results: a row for every input row, an
+empty table for an empty one. Null, empty or unreadable bytes, and pictures without corners, have n_corners 0
+and are linked with nothing but equal pixels (unreadable: with nothing). Rows without an id have a
+null class_id. Rows that repeat an id are one node. Very large pictures are described whole. Extra columns are
+ignored. Of pairs that tie the one with the smallest ids is tried first, which changes no class.
 """
 
 from __future__ import annotations
@@ -35,15 +42,18 @@ from brookline.llm import text as T
 from brookline.llm.graph import components as connected
 from brookline.llm.shared import Scratch, small
 
-SCALES, STACK = (1.0, 0.7071, 0.5), 64
-BITS, TABLES, PART, RADIUS, TURNS = 256, 16, 40, 10, 30
-MATCH, INLIERS, NEAR, KEYS = 40, 14, 2.0, 1
+SCALES, STACK = tuple(2 ** (-k / 4) for k in range(5)), 64
+BITS, RADIUS, TURNS = 256, 10, 30
+MATCH, INLIERS, NEAR, KEYS = 40, 14, 2.0, 2
+#: Of each table: bits of either corner, neighbours of a corner, and how far away they are at least and at most.
+TABLES, STEPS, FARTHEST = ((26, 1, 3.0), (20, 2, 16.0)), 6, 60.0
 #: Bytes of features that a block of pictures has on average; pairs are confirmed by pairs of blocks.
 BLOCK = 2 << 20
-#: The bits of each Hamming table.
-DRAWN = np.stack([np.random.Generator(np.random.PCG64(100 + k)).permutation(BITS)[:PART] for k in range(TABLES)])
 _r = np.random.Generator(np.random.PCG64(7))
 PATTERN = np.clip(_r.normal(0, RADIUS / 2, (BITS, 4)), -RADIUS, RADIUS)
+#: The bits that keys draw from: tests of distant places, which small changes of brightness seldom turn.
+STEADY = np.argsort(-np.hypot(PATTERN[:, 0] - PATTERN[:, 2], PATTERN[:, 1] - PATTERN[:, 3]), kind="stable")[:110]
+DRAWN = [[np.random.Generator(np.random.PCG64(100 + 2 * k + side)).permutation(STEADY)[:part] for side in (0, 1)] for k, (part, _, _) in enumerate(TABLES)]
 _t = np.arange(TURNS)[:, None] * (2 * np.pi / TURNS)
 #: The pattern at each orientation, as whole offsets (ay, ax, by, bx).
 TURNED = np.rint(np.stack([v for k in (0, 2) for v in (np.sin(_t) * PATTERN[:, k] + np.cos(_t) * PATTERN[:, k + 1], np.cos(_t) * PATTERN[:, k] - np.sin(_t) * PATTERN[:, k + 1])], axis=2)).astype(int)
@@ -117,24 +127,17 @@ def _png(data: bytes) -> np.ndarray:
     if depth != 8 or interlaced or not channels:
         raise ValueError("this kind of PNG isn't read")
     raw = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(h, 1 + w * channels)
-    out = np.zeros((h + 1, w * channels + channels), np.int32)
-    for y in range(h):
-        kind, line, above = raw[y, 0], raw[y, 1:].astype(np.int32), out[y]
-        row = out[y + 1]
-        if kind in (0, 2):
-            row[channels:] = (line + (above[channels:] if kind else 0)) & 255
-            continue
-        for x in range(len(line)):
-            a, b, c = row[x], above[x + channels], above[x]
-            if kind == 1:
-                guess = a
-            elif kind == 3:
-                guess = (a + b) // 2
-            else:
-                p = a + b - c
-                guess = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
-            row[x + channels] = (line[x] + guess) & 255
-    return _grey(out[1:, channels:].reshape(h, w, channels))
+    kinds, lines = raw[:, 0], raw[:, 1:].reshape(h, w, channels).astype(np.int16)
+    out = np.zeros((h + 1, w + 1, channels), np.int16)
+    for t in range(w + h - 1):  # a pixel needs those to its left, above, and between: diagonals are independent
+        y = np.arange(max(0, t - w + 1), min(h, t + 1))
+        x = t - y
+        left, above, corner, kind = out[y + 1, x], out[y, x + 1], out[y, x], kinds[y][:, None]
+        to_left, to_above, to_corner = np.abs(above - corner), np.abs(left - corner), np.abs(left + above - 2 * corner)
+        nearest = np.where((to_left <= to_above) & (to_left <= to_corner), left, np.where(to_above <= to_corner, above, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, above, (left + above) >> 1, nearest], 0)
+        out[y + 1, x + 1] = (lines[y, x] + guess) & 255
+    return _grey(out[1:, 1:])
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -208,12 +211,36 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return describe_all(image[None])[0]
 
 
-def table_keys(bits: np.ndarray) -> list[int]:
-    """One key for each Hamming table and distinct part of a picture's descriptors."""
+def _neighbours(z: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each place with its n nearest at `least` or farther (and within FARTHEST): first, second, distance."""
+    out = []
+    for at in range(0, len(z), 1024):
+        d = np.abs(z[at : at + 1024, None] - z[None])
+        d[d < least] = np.inf
+        near = np.argsort(d, axis=1, kind="stable")[:, :n] if len(z) < 256 else np.argpartition(d, min(n, len(z) - 1), axis=1)[:, :n]
+        far = np.take_along_axis(d, near, 1)
+        k = np.broadcast_to(np.arange(at, at + len(d))[:, None], near.shape)
+        keep = far < FARTHEST
+        out.append((k[keep], near[keep], far[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def table_keys(spots: np.ndarray, bits: np.ndarray) -> list[int]:
+    """The distinct keys of a picture's pairs of corners, of all tables."""
     if not len(bits):
         return []
-    parts = np.unpackbits(bits, axis=1)[:, DRAWN] @ (np.uint64(1) << np.arange(PART, dtype=np.uint64))
-    return np.unique(T.mix(parts * np.uint64(TABLES) + np.arange(TABLES, dtype=np.uint64))).view(np.int64).tolist()
+    tests, out = np.unpackbits(bits, axis=1).astype(np.uint64), []
+    for scale in np.unique(spots[:, 2]):
+        own = np.flatnonzero(spots[:, 2] == scale)
+        z, angle = (spots[own, 0] + 1j * spots[own, 1]) * scale, spots[own, 3]
+        step = lambda a: np.floor(a / (2 * np.pi) * STEPS % STEPS).astype(np.uint64)
+        for k, (part, n, least) in enumerate(TABLES):
+            a, b, far = _neighbours(z, n, least)
+            power = np.uint64(1) << np.arange(part, dtype=np.uint64)
+            first, second = (tests[own[i]][:, drawn] @ power for i, drawn in ((a, DRAWN[k][0]), (b, DRAWN[k][1])))
+            seen = (step(np.angle(z[b] - z[a]) - angle[a]) * np.uint64(STEPS) + step(angle[b] - angle[a])) * np.uint64(32) + np.floor(2 * np.log2(far)).astype(np.uint64)
+            out.append(T.mix(T.mix(first * np.uint64(len(TABLES)) + np.uint64(k)) ^ (second * np.uint64(0x9E3779B97F4A7C15)) ^ T.mix(seen)))
+    return np.unique(np.concatenate(out)).view(np.int64).tolist()
 
 
 def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> int:
@@ -256,26 +283,45 @@ def consensus(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]
     return best
 
 
+def _described(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of (id, bytes) with what each picture is: pixels, spots, bits; None if it can't be read."""
+    for first in range(0, batch.num_rows, STACK):
+        part = batch.slice(first, STACK)
+        pictures = [decode(x.as_py()) for x in part.column(1)]
+        rows: list = [None] * len(pictures)
+        sizes: dict[tuple, list[int]] = {}
+        for k, image in enumerate(pictures):
+            if image is not None and image.size:
+                sizes.setdefault(image.shape, []).append(k)
+        for shape, own in sizes.items():
+            most = max(1, (STACK * 4096) // (shape[0] * shape[1]))  # large pictures by themselves
+            for at in range(0, len(own), most):
+                some = own[at : at + most]
+                for k, (spots, bits) in zip(some, describe_all(np.stack([pictures[k] for k in some]))):
+                    rows[k] = (pictures[k], spots, bits)
+        yield part, rows
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for first in range(0, batch.num_rows, STACK):
-            part = batch.slice(first, STACK)
-            pictures = [decode(x.as_py()) for x in part.column(1)]
-            rows: list[tuple] = [(None, None, 0, b"", b"", [])] * len(pictures)
-            sizes: dict[tuple, list[int]] = {}
-            for k, image in enumerate(pictures):
-                if image is not None and image.size:
-                    sizes.setdefault(image.shape, []).append(k)
-            for shape, own in sizes.items():
-                for k, (spots, bits) in zip(own, describe_all(np.stack([pictures[k] for k in own]))):
-                    pixels = np.rint(pictures[k]).astype(np.uint8).ravel()
+        for part, rows in _described(batch):
+            out: list[tuple] = [(None, None, 0, [])] * len(rows)
+            for k, row in enumerate(rows):
+                if row is not None:
+                    pixels = np.rint(row[0]).astype(np.uint8).ravel()
                     h = T.span_hash(T.prefix(T.BYTE_CODE[pixels]), np.array([0]), np.array([pixels.size])).view(np.int64)
-                    rows[k] = (int(h[0]), zlib.crc32(repr(shape).encode()), len(spots), spots.astype(np.float32).tobytes(), bits.tobytes(), table_keys(bits))
-            h, shape, n, spots, bits, keys = zip(*rows)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(h, pa.int64()), pa.array(shape, pa.int64()), pa.array(n, pa.int64()), pa.array(spots, pa.binary()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["image_id", "pixels", "shape", "n_corners", "spots", "bits", "keys"],
-            )
+                    out[k] = (int(h[0]), zlib.crc32(repr(row[0].shape).encode()), len(row[1]), table_keys(row[1], row[2]))
+            h, shape, n, keys = zip(*out)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(h, pa.int64()), pa.array(shape, pa.int64()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["image_id", "pixels", "shape", "n_corners", "keys"])
+    T.release()
+
+
+def _again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part, rows in _described(batch):
+            spots, bits = ([None if r is None else r[k].astype(kind).tobytes() for r in rows] for k, kind in ((1, np.float32), (2, np.uint8)))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spots, pa.binary()), pa.array(bits, pa.binary())], ["image_id", "spots", "bits"])
+    T.release()
 
 
 def _confirm(pairs: pa.Table, features: pa.Table) -> pa.Table:
@@ -285,47 +331,81 @@ def _confirm(pairs: pa.Table, features: pa.Table) -> pa.Table:
     return pairs.filter(pa.array([consensus(own[u], own[v]) >= INLIERS for u, v in zip(*(c.to_pylist() for c in pairs.columns))], pa.bool_()))
 
 
-def image_copies(images: DataFrame, image: str = "image") -> DataFrame:
-    """image_id, n_corners, class_id (smallest id reachable over confirmed links and equal pixels), kept (it is that one)."""
-    scratch = Scratch(images.sparkSession)
-    seen = scratch.keep(images.select("image_id", image).mapInArrow(_features, "image_id long, pixels long, shape long, n_corners long, spots binary, bits binary, keys array<long>"), "features")
-    classes = scratch.keep(seen.where("image_id is not null and pixels is not null").groupBy("pixels", "shape").agg(F.min("image_id").alias("rep")), "classes")
-    reps = scratch.keep(classes.select(F.col("rep").alias("image_id")).distinct(), "reps")
-    members = seen.join(small(reps), "image_id", "left_semi").select(F.col("image_id").alias("rep"), F.explode("keys").alias("key"))
-    ends = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    shared = scratch.keep(members.join(ends, "key"), "buckets")
-    stars = shared.select("key", "rep", F.explode(F.array_distinct(F.array("low", "high"))).alias("end")).where("rep <> end")
-    stars = scratch.keep(stars.select(F.least("rep", "end").alias("u"), F.greatest("rep", "end").alias("v"), "key").groupBy("u", "v").agg(F.countDistinct("key").alias("n")).where(F.col("n") >= KEYS).select("u", "v"), "stars")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        ids = scratch.keep(pairs.select(F.explode(F.array("u", "v")).alias("image_id")).distinct(), f"{name}-ids")
-        own = scratch.keep(seen.join(small(ids), "image_id", "left_semi").select("image_id", "spots", "bits").dropDuplicates(["image_id"]), f"{name}-features")
-        # A picture's features go once to each pair of blocks that needs them, not once to each of its pairs.
+class _Links:
+    """Confirmation of candidate pairs (u, v)."""
+
+    def __init__(self, images: DataFrame, scratch: Scratch):
+        self.images, self.scratch = images, scratch
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """A written table of the links among the pairs, which are a written table too."""
+        scratch = self.scratch
+        ids = scratch.keep(pairs.select(F.explode(F.array("u", "v")).alias("image_id")).distinct(), "ids")
+        asked = self.images.join(small(ids), "image_id", "left_semi").dropDuplicates(["image_id"])
+        own = scratch.keep(asked.select("image_id", "image").mapInArrow(_again, "image_id long, spots binary, bits binary"), "described")
         weight = own.agg(F.sum(F.octet_length("spots") + F.octet_length("bits"))).first()[0] or 0
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(weight // BLOCK + 1, 8)))
         placed = pairs.select("u", "v", block("u").alias("bu"), block("v").alias("bv"))
         needed = placed.select(F.col("bu").alias("nu"), F.col("bv").alias("nv"), F.explode(F.array("u", "v")).alias("image_id")).distinct().join(own, "image_id")
-        both = placed.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv"))
-        out = scratch.keep(both.applyInArrow(_confirm, "u long, v long"), name)
+        out = scratch.keep(placed.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv")).applyInArrow(_confirm, "u long, v long"), "links")
         scratch.drop(ids, own)
         scratch.sweep()
         return out
 
-    found = confirmed(stars, "links")
-    joined = connected(found, scratch)
-    part = shared.select("key", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    split = part.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    part = scratch.keep(part.join(split, "key", "left_semi"), "split")
+
+def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    return pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+
+
+def candidates(members: DataFrame, scratch: Scratch) -> DataFrame:
+    """u, v, n: of members (rep, key, component) those in different components that share n keys, KEYS or more."""
+    split = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+    part = members.join(split, "key", "left_semi")
     x, y = part.alias("x"), part.alias("y")
-    cross = x.join(y, F.expr("x.key = y.key and x.rep < y.rep and x.component <> y.component")).groupBy(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= KEYS).select("u", "v")
-    rest = scratch.keep(cross.join(stars, ["u", "v"], "left_anti"), "cross")
-    more = confirmed(rest, "more")
-    if more.limit(1).count():
-        joined = connected(found.unionByName(more), scratch)
+    both = x.join(y, F.expr("x.key = y.key and x.rep < y.rep and x.component <> y.component"))
+    return scratch.keep(both.groupBy(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).agg(F.count("*").alias("n")).where(F.col("n") >= KEYS), "candidates")
+
+
+def image_copies(images: DataFrame, image: str = "image") -> DataFrame:
+    """image_id, n_corners, class_id (smallest id reachable over confirmed links and equal pixels), kept (it is that one), readable."""
+    scratch = Scratch(images.sparkSession)
+    pictures = images.select("image_id", F.col(image).alias("image"))
+    seen = scratch.keep(pictures.mapInArrow(_features, "image_id long, pixels long, shape long, n_corners long, keys array<long>"), "features")
+    classes = scratch.keep(seen.where("image_id is not null and pixels is not null").groupBy("pixels", "shape").agg(F.min("image_id").alias("rep")), "classes")
+    reps = scratch.keep(classes.select(F.col("rep").alias("image_id")).distinct(), "reps")
+    links = _Links(pictures.where("image_id is not null"), scratch)
+    members = seen.join(small(reps), "image_id", "left_semi").select(F.col("image_id").alias("rep"), F.explode("keys").alias("key"))
+
+    ends = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
+    stars = members.join(ends, "key").select("rep", F.explode(F.array("low", "high")).alias("end")).where("rep <> end").groupBy("rep", "end").agg(F.count("*").alias("n")).where(F.col("n") >= KEYS)
+    stars = stars.groupBy("rep").agg(F.max_by("end", F.struct("n", -F.col("end"))).alias("end"))
+    tried = scratch.keep(_ordered(stars, "rep", "end").distinct(), "stars")
+    scratch.sweep()
+    found = links.confirm(tried)
+    joined = connected(found, scratch)
+
+    placed = members.join(small(joined.withColumnRenamed("node", "rep")), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+    left = candidates(placed, scratch)
+    scratch.sweep()
+    while True:
+        of = {c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "uv"}
+        apart = left.join(tried, ["u", "v"], "left_anti").join(of["u"], "u", "left").join(of["v"], "v", "left").withColumns({"cu": F.coalesce("cu", "u"), "cv": F.coalesce("cv", "v")}).where("cu <> cv")
+        apart = scratch.keep(apart.select("u", "v", "n", F.least("cu", "cv").alias("cu"), F.greatest("cu", "cv").alias("cv")), "apart")
+        likely = scratch.keep(apart.groupBy("cu", "cv").agg(F.max_by(F.struct("u", "v"), F.struct("n", -F.col("u"), -F.col("v"))).alias("p")).select("p.*"), "likely")
+        more = links.confirm(likely)
+        last = not more.limit(1).count()
+        if last:  # no two components have become one: now all that is left
+            more = links.confirm(scratch.keep(apart.select("u", "v").join(likely, ["u", "v"], "left_anti"), "rest"))
+        if more.limit(1).count():
+            found = scratch.keep(found.unionByName(more), "found")
+            joined = connected(found, scratch)
+        if last:
+            break
+        tried = scratch.keep(tried.unionByName(likely), "tried")
     of = classes.select("pixels", "shape", "rep").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("pixels", "shape", F.coalesce("component", "rep").alias("component"))
     out = seen.select("image_id", "n_corners", "pixels", "shape").join(of, ["pixels", "shape"], "left")
     class_id = F.when(F.col("image_id").isNotNull(), F.coalesce("component", "image_id"))
-    return out.select("image_id", "n_corners", class_id.alias("class_id"), F.coalesce(F.col("image_id") == class_id, F.lit(True)).alias("kept"))
+    return out.select("image_id", "n_corners", class_id.alias("class_id"), F.coalesce(F.col("image_id") == class_id, F.lit(True)).alias("kept"), F.col("pixels").isNotNull().alias("readable"))
 
 
 def rasters(vectors: DataFrame, cell: int = 8) -> DataFrame:

@@ -97,3 +97,22 @@ def near(rows, n, percent):
         for i in ids:
             out[i] = (len(s), find(reps[s]) if s else i)
     return out
+
+
+def tiles(item, doc, least):
+    """Greedy string tiling: again and again the longest run common to words not yet marked."""
+    free_a, free_b, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (least - 1, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                n = 0
+                while i + n < len(item) and j + n < len(doc) and free_a[i + n] and free_b[j + n] and item[i + n] == doc[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least:
+            return out
+        free_a[i : i + n] = free_b[j : j + n] = [False] * n
+        out.append((i, j, n))

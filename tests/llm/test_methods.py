@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from brookline.llm import contamination, graph, images, lattice, near, pii, queries, toxicity
+from brookline.llm import contamination, graph, images, lattice, near, pii, queries, toxicity, urls
 from brookline.llm.shared import Scratch, table
 
 D = "/root/testdata/sf0.01"
@@ -97,6 +97,69 @@ def test_contexts_of_ordinary_words_find_nothing(spark):
     assert got[0] == "phone:7:23" and got[900] == ""
 
 
+def test_trees_are_those_of_plain_boosting(spark):
+    """Every split and leaf, by sums over lists; and trees that decide: what looks like blocked URLs is blocked, what looks like allowed ones is not."""
+    rng = random.Random(12)
+    rows = [(i, f"http://h{rng.randrange(40)}.example.com/en/{rng.randrange(7000, 8000) if i % 2 else rng.randrange(100, 699)}" + ("?a=1&b=2" if i % 4 == 0 else "")) for i in range(600)]
+    rows += [(1000 + i, f"http://x{i}.example.com/fr/{rng.randrange(7000, 8000) if i % 2 else rng.randrange(100, 699)}") for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string")
+    host, path = urls.host_and_path(F.col("url"))
+    split = df.select("url", host.alias("host"), path.alias("path")).withColumn("fit", urls.rule_of(F.col("host"), F.col("path")))
+    split = split.withColumn("label", F.when(F.col("fit.verdict") == "block", 1).when(F.col("fit.verdict") == "allow", 0))
+    model = urls.fit(split, Scratch(spark))
+    names = [*urls.NUMERIC, "suffix_count", "site_count"]
+    made = [r.asDict() for r in model.prepared(split.where("label is not null").withColumns(urls.features(F.col("url"), F.col("host"), F.col("path")))).select(*names, "label").collect()]
+    assert {k: round(np.exp(v)) for k, v in model.statistics["suffix"].items()} == {"com": 660} and len(model.trees) == urls.TREES
+    n1 = sum(r["label"] for r in made)
+    weight = {1: len(made) / (2 * n1), 0: len(made) / (2 * (len(made) - n1))}
+    raw = [0.0] * len(made)
+    for tree in model.trees:
+        g, h = [], []
+        for r, z in zip(made, raw):
+            p = 1 / (1 + np.exp(-z))
+            g.append(weight[r["label"]] * (p - r["label"]))
+            h.append(weight[r["label"]] * p * (1 - p))
+        node = [0] * len(made)
+        for level, splits in enumerate(tree.levels):
+            for at in set(node):
+                own = [k for k, x in enumerate(node) if x == at]
+                gain = lambda left: sum(g[k] for k in left) ** 2 / (sum(h[k] for k in left) + urls.RIDGE) if left else 0.0
+                score = lambda name, edge: gain([k for k in own if made[k][name] < edge]) + gain([k for k in own if made[k][name] >= edge]) - gain(own)
+                best = max((score(c, e) for c in names for e in sorted({r[c] for r in made}) if min(sum(made[k][c] < e for k in own), sum(made[k][c] >= e for k in own)) >= urls.LEAST), default=0.0)
+                if at in splits:
+                    name, _, edge = splits[at]
+                    assert score(name, edge) >= 0.8 * best > 0  # edges are quantiles, so the very best may lie between two
+            node = [2 * x + (made[k][splits[x][0]] >= splits[x][2] if x in splits else 0) for k, x in enumerate(node)]
+        for leaf in set(node):
+            own = [k for k, x in enumerate(node) if x == leaf]
+            assert tree.leaves[leaf] == pytest.approx(-urls.RATE * sum(g[k] for k in own) / (sum(h[k] for k in own) + urls.RIDGE), abs=1e-9)
+        raw = [z + tree.leaves[x] for z, x in zip(raw, node)]
+    got = {r["page_id"]: r for r in urls.judge_urls(df).collect()}
+    free = [r for r in got.values() if r["rule"] is None]
+    assert len(free) == 60 and {r["verdict"] for r in free} == {"allow", "block"}
+    assert all(r["verdict"] == ("block" if r["score"] > 0.5 else "allow") for r in free)
+
+
+def test_rules_and_base_spans_in_sql(spark, rows):
+    import duckdb
+
+    from brookline.llm import sql
+
+    con = duckdb.connect()
+    for name in ("pages", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{D}/{name}.parquet'")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"] if r["rule"] else None) for r in run(spark, "op4_url_filters")}
+    assert {r[0]: r[1:] for r in con.execute(sql.URL_RULES).fetchall()} == got
+    assert sum(r[3] == "block" for r in got.values()) > 10
+    counts = {r["doc_id"]: (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) for r in run(spark, "op3_pii")}
+    assert {r[0]: r[1:] for r in con.execute(sql.PII_COUNTS).fetchall()} == counts
+
+
+def test_url_trees_decide_on_the_tables(spark):
+    got = entry.queries()["op4_url_filters"](spark, D).where("rule is null").groupBy("verdict").count().collect()
+    assert {r["verdict"] for r in got} == {"allow", "block"}
+
+
 def test_near(spark, rows):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in run(spark, "op6_minhash_near_dedup")} == brute.near(rows, 3, 85)
 
@@ -139,6 +202,53 @@ def test_tiles():
     assert sum(n for *_, n in contamination.tiles(h("a a a a a a"), h("a a a a a a a a a"), 5)) == 6
 
 
+def test_tiles_are_those_of_the_plain_algorithm():
+    rng = random.Random(6)
+    for _ in range(400):
+        letters = rng.choice([2, 3, 6])
+        item, doc = ([rng.randrange(letters) for _ in range(rng.randrange(1, 40))] for _ in range(2))
+        if rng.random() < 0.5:
+            at = rng.randrange(len(item))
+            doc[rng.randrange(len(doc)) :] = item[at:] + item[:at]
+        got = contamination.tiles(np.array(item, np.uint64) + np.uint64(1), np.array(doc, np.uint64) + np.uint64(1), 3)
+        assert got == brute.tiles(item, doc, 3)
+
+
+def test_tiling_of_repetitive_texts_costs_what_it_has_of_runs():
+    import time
+
+    began = time.time()
+    same = np.full(60_000, 7, np.uint64)
+    assert contamination.tiles(same[:300], same, 5) == [(0, 0, 300)]
+    two = np.tile(np.array([3, 9], np.uint64), 10_000)
+    assert sum(n for *_, n in contamination.tiles(two[:400], two, 5)) == 400
+    assert time.time() - began < 10
+
+
+def test_contamination_by_definition(spark):
+    """Coverage of every document by every item, listed in full; ids repeat, and are null."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(30)]
+    items = [(i, " ".join(rng.choices(words, k=rng.randrange(3, 40)))) for i in range(25)] + [(3, "another text of the third item that is long enough"), (None, " ".join(words)), (40, None)]
+    docs = []
+    for k in range(150):
+        own = rng.choice(items[:25])[1].split()
+        cut = rng.randrange(1, len(own))
+        docs.append((rng.choice([k, k, 5, None]), " ".join([*rng.choices(words, k=10), *own[cut:], *rng.choices(words, k=3), *own[: rng.randrange(cut + 1)]]).title()))
+    docs += [(5, None), (None, ""), (6, "another text of the third item that is long enough")] * 2
+    got = contamination.contamination(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    want = []
+    for i, text in docs:
+        own = brute.WORD.findall(brute.lower(text or ""))
+        share = [(sum(n for *_, n in brute.tiles(w, own, 5)) / len(w), k) for k, t in items if k is not None and t for w in [brute.WORD.findall(brute.lower(t))]]
+        over = sorted({k for c, k in share if c >= 0.5})
+        want.append((i, over, max(c for c, _ in share) if over else None))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1], r[2] or 0)
+    rows = [(r["doc_id"], list(r["item_ids"]), r["coverage"] if r["contaminated"] else None) for r in got]
+    assert sorted(rows, key=key) == sorted(want, key=key) and sum(bool(o) for _, o, _ in want) > 40
+    assert all(r["contaminated"] == bool(r["item_ids"]) and (r["item_id"] is None) == (r["coverage"] == 0) for r in got)
+
+
 def test_decontamination_catches_reordered_passages_only(spark):
     items = [(r["item_id"], r["text"]) for r in table(spark, D, "benchmark").collect()][:8]
     docs = []
@@ -244,6 +354,45 @@ def test_image_formats():
     assert images.decode(png[:30]) is None
 
 
+def test_filters_of_png():
+    """All five filters, by undoing them byte by byte."""
+    import struct
+    import zlib as z
+
+    rng = np.random.default_rng(9)
+    a = rng.integers(0, 255, (11, 7, 3)).astype(np.uint8)
+    lines, above = [], np.zeros((7, 3), int)
+    for y in range(11):
+        row, kind = a[y].astype(int), y % 5
+        left, corner = np.vstack([np.zeros((1, 3), int), row[:-1]]), np.vstack([np.zeros((1, 3), int), above[:-1]])
+        p = left + above - corner
+        paeth = np.array([[min((abs(q - v), k, v) for k, v in enumerate((l, u, c)))[2] for q, l, u, c in zip(*r)] for r in zip(p, left, above, corner)])
+        guess = (0, left, above, (left + above) // 2, paeth)[kind]
+        lines.append(bytes([kind]) + ((row - guess) & 255).astype(np.uint8).tobytes())
+        above = row
+    chunk = lambda k, b: struct.pack(">I", len(b)) + k + b + struct.pack(">I", z.crc32(k + b))
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 7, 11, 8, 2, 0, 0, 0)) + chunk(b"IDAT", z.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    assert np.allclose(images.decode(png), a @ np.array([0.299, 0.587, 0.114]), atol=1e-3)
+
+
+def test_copies_are_those_of_exhaustive_consensus(spark):
+    """Candidates against all pairs: crops, turns, noise, brightness and scales of drawn pictures."""
+    rng = np.random.default_rng(11)
+    vectors = [(i, [float(x) for x in rng.normal(0, 1, 64)]) for i in range(30)]
+    drawn = [bytes(r["image"]) for r in images.rasters(spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>")).orderBy("image_id").collect()]
+    pgm = lambda a: b"P5 %d %d 255\n" % a.shape[::-1] + np.ascontiguousarray(np.rint(np.clip(a, 0, 255)).astype(np.uint8)).tobytes()
+    rows = list(enumerate(drawn))
+    for i, data in enumerate(drawn):
+        a = images.decode(data)
+        edits = [a[8:56, 4:58], np.rot90(a), a + rng.normal(0, 12, a.shape), a * 0.6 + 30, images._resized(a, 0.6), images._resized(a, 0.8)]
+        rows += [(100 + 10 * i + k, pgm(x)) for k, x in enumerate(edits)]
+    got = {r["image_id"]: r["class_id"] for r in images.image_copies(spark.createDataFrame(rows, "image_id bigint, image binary")).collect()}
+    own = {i: images.describe(images.decode(x)) for i, x in rows}
+    linked = [(i, 100 + 10 * i + k) for i in range(30) for k in range(6) if images.consensus(own[i], own[100 + 10 * i + k]) >= images.INLIERS]
+    assert len(linked) > 120 and np.mean([got[a] == got[b] for a, b in linked]) >= 0.95
+    assert all(got[i] == i for i in range(30)) and all(c == k or c == (k - 100) // 10 or (c - 100) // 10 == (k - 100) // 10 for k, c in got.items() if k >= 100)
+
+
 def test_vectors_that_are_nearly_equal_make_copies(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(0, 1, (12, 64))
