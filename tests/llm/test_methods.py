@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from brookline.llm import contamination, graph, images, lattice, near, pii, queries, toxicity, urls
+from brookline.llm import contamination, graph, images, lattice, near, pii, queries, repeats, toxicity, urls
 from brookline.llm.shared import Scratch, table
 
 D = "/root/testdata/sf0.01"
@@ -50,6 +50,43 @@ def test_substring_dedup(spark, rows):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in run(spark, "op2_substring_dedup")} == brute.repeats(rows, 50)
 
 
+@pytest.mark.parametrize("most", [0, 3, 1 << 15])
+def test_repeats_by_automata_and_by_hashes(spark, most):
+    """The same rows whatever share of the phrases the automata have; copies, near copies, repeated and null ids."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(300)] + ["é", "\x00", "a.b"]
+    passages = [rng.choices(words, k=rng.randrange(50, 120)) for _ in range(6)]
+    texts = []
+    for i in range(80):
+        parts = [rng.choices(words, k=rng.randrange(40))]
+        for _ in range(rng.randrange(3)):
+            parts += [rng.choice(passages), rng.choices(words, k=rng.randrange(30))]
+        texts.append((i, rng.choice([" ", "\n", " \t"]).join(x for part in parts for x in part)))
+    texts += [(100 + k, texts[k][1]) for k in range(10)] + [(200, " ".join(passages[0]) * 3), (201, "short text"), (202, "short text"), (203, None), (204, "")]
+    df = spark.createDataFrame([*texts, (None, texts[3][1]), (None, None), (205, texts[5][1]), (205, texts[5][1])], "doc_id bigint, text string")
+    got = [tuple(r)[:4] for r in repeats.remove_repeats(df, most=most).collect()]
+    want = brute.repeats([*texts, (205, texts[5][1])], 50)
+    assert {i: r for i, *r in got if i is not None} == {i: list(r) for i, r in want.items()} and len(got) == len(texts) + 4
+    assert [r[2] for r in got if r[0] is None] == [0, 0] and sum(n for _, n, _ in want.values()) > 2000
+
+
+def test_automata_locate_phrases():
+    import pyarrow as pa
+
+    from brookline.llm import text as T
+
+    rng = random.Random(14)
+    texts = [" ".join(rng.choices(["a", "b", "ab", "é"], k=rng.randrange(60))) for _ in range(40)] + ["", "a\n\nb\ta  ab", None]
+    chunk = next(T.chunks(pa.array(texts, pa.string())))
+    w = T.words(chunk)
+    phrases = [" ".join(rng.choices(["a", "b", "ab", "é"], k=3)) for _ in range(9)]
+    shards = repeats.Shards([f" {p} ".encode() for p in phrases], np.arange(9, dtype=np.uint64), 2)
+    assert sum(map(len, shards.phrases)) == 9 and len(shards.automata()) == 2
+    here = repeats.locate(chunk, w, shards.automata(), 3)
+    want = [x[k : k + 3] in [p.split() for p in phrases] for x in [brute.WORD.findall(t or "") for t in texts] for k in range(len(x))]
+    assert here.tolist() == want and any(want)
+
+
 def test_pii(spark, rows):
     for r in run(spark, "op3_pii"):
         spans = brute.pii(dict(rows)[r["doc_id"]])
