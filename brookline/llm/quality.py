@@ -7,7 +7,8 @@ singular vectors. The labelled vectors, at most 2 * per_class of `rank` floats,
 Every document is compared with all of them, as exact cosine products in blocks; the
 `neighbours` nearest vote with weights that rise with similarity.
 
-Defined results: a row for every input row. A null or empty text, or one that shares nothing
+Defined results: a row for every input row, an empty table for an empty one; very long texts are read
+whole. A null or empty text, or one that shares nothing
 with the sample, gets the share of label 1 among all labels as its score, and so does every
 text if no row is labelled (then 0.5). Ties between neighbours go by the order of the sample,
 which is by id. Repeated rows get equal scores; extra columns are ignored.
@@ -27,6 +28,8 @@ from brookline.llm.shared import labelled
 
 BUCKETS, EXTRA = 2048, 16
 PER_CLASS, RANK, NEIGHBOURS, BLOCK, POWER = 1500, 64, 15, 256, 4
+#: Rows of a chunk: a dense row of features is 8 KB, however short its text.
+ROWS = 512
 
 
 def features(chunk: T.Chunk) -> np.ndarray:
@@ -109,7 +112,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_cla
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, chunk in T.pieces(batch, "text"):
+            for part, chunk in T.pieces(batch, "text", ROWS):
                 x = features(chunk).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
@@ -124,8 +127,10 @@ def score_quality(docs: DataFrame, model: Voters, threshold: float = 0.7) -> Dat
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, chunk in T.pieces(batch, "text"):
+            for part, chunk in T.pieces(batch, "text", ROWS):
                 s = sent.value.score(features(chunk))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
+        T.release()
+
     return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, score double, predicted int")

@@ -3,7 +3,7 @@
 Everything here works on the raw Arrow buffers of a string column: words, hashes
 and windows are numpy arrays over one chunk of documents, so no Python object is
 made for a word. A chunk holds at most ``CHUNK_BYTES`` of text (a longer document
-is a chunk by itself), which bounds the memory of a worker whatever the batch
+is a chunk by itself) and ``CHUNK_ROWS`` rows, which bounds the memory of a worker whatever the batch
 size. Null texts count as empty.
 """
 
@@ -16,7 +16,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES, CHUNK_ROWS = 1 << 20, 1 << 14
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -107,11 +107,11 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
+def chunks(column: pa.Array, limit: int = CHUNK_BYTES, rows: int = CHUNK_ROWS) -> Iterator[Chunk]:
     data, offsets = buffers(column)
     at, n = 0, len(offsets) - 1
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
+        to = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1), at + rows)
         yield Chunk(at, data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
         at = to
 
@@ -162,7 +162,7 @@ def release() -> None:
         pass
 
 
-def pieces(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
-    """The batch cut into slices of bounded text, each with its chunk."""
-    for chunk in chunks(batch.column(batch.schema.get_field_index(text))):
+def pieces(batch: pa.RecordBatch, text: str, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
+    """The batch cut into slices of bounded text and rows, each with its chunk."""
+    for chunk in chunks(batch.column(batch.schema.get_field_index(text)), rows=rows):
         yield batch.slice(chunk.first, chunk.rows), chunk

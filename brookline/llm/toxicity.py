@@ -22,8 +22,8 @@ gives the score.
 Whole texts are read; a token longer than WIDE is cut into overlapping windows. Defined
 results: a row for every input row; null and empty texts get the score of a text with no
 token; without examples of both labels, or tokens that tell them apart, every score is 0.018, so
-that nothing is rejected. Repeated rows score equally; extra
-columns are ignored.
+that nothing is rejected; an empty table gives one. Tokens that tie are taken in their own order. Repeated
+rows score equally; extra columns are ignored, or kept by drop_toxic(), whatever their names.
 """
 
 from __future__ import annotations
@@ -314,14 +314,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_cla
     """Everything the driver gets is bounded by the parameters: candidates, clean tokens, and two floats of each document in the sample."""
     spark = docs.sparkSession
     sample = labelled(docs, labels, label, allowed, per_class).select("doc_id", "text", "label").mapInArrow(_tokens, "doc_id long, text string, label int, copy long, tokens array<binary>").persist()
+    held = [sample]
     try:
         single = sample.groupBy("copy", "label").agg(F.min_by("tokens", "doc_id").alias("tokens")).persist()
+        held.append(single)
         count = {r["label"]: r["n"] for r in single.groupBy("label").agg(F.count("*").alias("n")).collect()}
         positive, negative = count.get(1, 0), count.get(0, 0)
         flat = Model(np.zeros(TABLE, np.float32), -1.0, np.array([0.0, 0.0, 0.0, 0.0, 0.0, -4.0]))
         if not positive or not negative:
             return flat
         by = single.select("label", F.explode("tokens").alias("token")).groupBy("token").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("q")).persist()
+        held.append(by)
         odds = ((F.col("p") + 0.5) / (positive + 1)) / ((F.col("q") + 0.5) / (negative + 1))
         strong = by.where((F.col("p") >= max(3, LEAST * positive)) & (odds > ODDS)).orderBy(F.desc(odds * F.sqrt("p")), "token").limit(CANDIDATES)
         insults = [bytes(r["token"]) for r in strong.collect()]
@@ -355,7 +358,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_cla
         x = np.stack([got[k].to_numpy() for k in "abcde"], axis=1)
         return Model(table, bias, _logistic(x, got["label"].to_numpy()))
     finally:
-        sample.unpersist()
+        for df in held:
+            df.unpersist()
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
