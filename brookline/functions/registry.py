@@ -8,7 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column
 
-from brookline.functions import basic
+from brookline.functions import basic, xml
 from brookline.types import BINARY, KV, KVM, STREAM, STRING, URL, XML, Kind
 
 
@@ -20,7 +20,7 @@ class Codec(NamedTuple):
 
 
 DEFAULT = (
-    Codec("xml_decode", BINARY, XML, basic.text_decode),
+    Codec("xml_decode", BINARY, XML, lambda v: xml.checked(basic.text_decode(v))),
     Codec("xml_encode", XML, BINARY, basic.text_encode),
     Codec("text_decode", BINARY, STRING, basic.text_decode),
     Codec("text_encode", STRING, BINARY, basic.text_encode),
