@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from brookline.scratch import Scratch
 
+#: Emissions that one task folds.
+STRETCH = 1 << 16
 
 def numbered(df: DataFrame, keys: Sequence[str], scratch: Scratch | None = None, name: str = "rn") -> DataFrame:
     """The rows with their place, from 1, in the order of the keys (which should be unique; ties get any order)."""
@@ -33,11 +35,18 @@ def numbered(df: DataFrame, keys: Sequence[str], scratch: Scratch | None = None,
 def running(df: DataFrame, keys: Sequence[str], each: int, partial: Column, combine: str, init: int | float, by: str = "rn", scratch: Scratch | None = None) -> DataFrame:
     """emit_no, uniq (the last key folded), acc: a cumulative fold of `partial` (sum, max or min) emitted at each `each` rows and at the end.
 
-    Rows are aggregated by bucket, map-side first; only one row per emission meets in a window.
+    Rows are aggregated by bucket, map-side first. Emissions are folded in stretches of STRETCH, each
+    in a task of its own; only one row for each stretch meets in the window that has no partition.
     """
     aggregate = {"sum": F.sum, "max": F.max, "min": F.min}[combine]
+    both = {"sum": lambda a, b: a + b, "max": F.greatest, "min": F.least}[combine]
     bucket = df.withColumn("emit_no", F.ceil(F.col(by) / each).cast("bigint")).groupBy("emit_no").agg(aggregate(partial).alias("part"), F.max(keys[0]).alias("uniq"), F.max("ts").alias("ts"))
-    order = Window.orderBy("emit_no").rowsBetween(Window.unboundedPreceding, 0)
-    total = aggregate("part").over(order)
-    acc = total + F.lit(init) if combine == "sum" else (F.greatest if combine == "max" else F.least)(total, F.lit(init)) if init is not None else total
-    return bucket.select("emit_no", "uniq", "ts", acc.alias("acc"))
+    stretch = F.floor((F.col("emit_no") - 1) / STRETCH)
+    bucket = bucket.withColumn("_stretch", stretch)
+    within = Window.partitionBy("_stretch").orderBy("emit_no").rowsBetween(Window.unboundedPreceding, 0)
+    whole = bucket.groupBy("_stretch").agg(aggregate("part").alias("_whole"))
+    before = whole.select("_stretch", aggregate("_whole").over(Window.orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    own = aggregate("part").over(within)
+    total = F.when(F.col("_before").isNull(), F.col("_own")).when(F.col("_own").isNull(), F.col("_before")).otherwise(both(F.col("_own"), F.col("_before")))
+    acc = both(total, F.lit(init)) if init is not None else total
+    return bucket.withColumn("_own", own).join(F.broadcast(before), "_stretch").select("emit_no", "uniq", "ts", acc.alias("acc"))

@@ -15,9 +15,10 @@ from pyspark.sql.functions import udtf
 from brookline.functions import basic, xml
 from brookline.functions.registry import GZIP
 from brookline.operators.flow import Flow, Fold, Mapper, Step
+from brookline.scratch import Scratch
 from brookline.sources.files import Contents, Directory
 from brookline.sources.sequence import Cycle, Items
-from brookline.sources.sinks import line
+from brookline.sources.sinks import Callback, line
 from brookline.types import BINARY, KV, KVM, LONG, STRING, URL, XML, record
 
 GZ, UNGZ = GZIP
@@ -178,9 +179,9 @@ def split_explode(spark, d):
 # Folds.
 
 
-@query("WITH d AS (SELECT event_id,row_number() OVER(ORDER BY event_id) rn,count(*) OVER() n,sum(user_id) OVER(ORDER BY event_id) acc FROM events WHERE event_id%3<>0) SELECT ceil(rn/1000.0)::BIGINT AS emit_no, event_id AS uniq, acc::BIGINT AS acc FROM d WHERE rn%1000=0 OR rn=n")
+@query("WITH d AS (SELECT event_id,row_number() OVER(ORDER BY event_id) rn,count(*) OVER() n,sum(user_id) OVER(ORDER BY event_id) acc FROM events) SELECT ceil(rn/999.0)::BIGINT AS emit_no, event_id AS uniq, acc::BIGINT AS acc FROM d WHERE rn%999=0 OR rn=n")
 def fold_sum_each(spark, d):
-    return _events(spark, d, where="event_id % 3 <> 0").fold(Fold("sum", lambda v: v)).each(1000).values(emit_no="k0", uniq="uniq", acc="value")
+    return _events(spark, d).fold(Fold("sum", lambda v: v)).each(999).values(emit_no="k0", uniq="uniq", acc="value")
 
 
 @query("SELECT sum(strlen(text))::BIGINT AS acc FROM documents")
@@ -194,7 +195,7 @@ def _larger(acc: int, v: int) -> int:
 
 @query("SELECT max(user_id) AS acc FROM events")
 def fold_custom_udaf(spark, d):
-    return _events(spark, d).fold(Fold("max", lambda v: v, None)).values(acc="value")
+    return _events(spark, d).fold(_larger, 0).values(acc="value")
 
 
 @query("WITH d AS (SELECT event_id, row_number() OVER(ORDER BY event_id) rn, count(*) OVER() n, max(user_id) OVER(ORDER BY event_id) acc FROM events) SELECT ceil(rn/2500.0)::BIGINT AS emit_no, acc FROM d WHERE rn%2500=0 OR rn=n")
@@ -266,9 +267,13 @@ def limit_zero_is_noop(spark, d):
     return _events(spark, d).limit(0).values(event_id="k0")
 
 
+def _after(v: int) -> int:
+    return v + 1
+
+
 @query("SELECT event_id, row_number() OVER(ORDER BY event_id) AS pos FROM events")
 def par_order_preserved(spark, d):
-    return _events(spark, d).map(lambda v: v + 1).par(4).numbered().select(F.col("k0").alias("event_id"), F.col("rn").alias("pos"))
+    return _events(spark, d).map(_after).par(4).numbered().select(F.col("k0").alias("event_id"), F.col("rn").alias("pos"))
 
 
 @query("SELECT n_nationkey FROM nation")
@@ -276,17 +281,33 @@ def throttle_identity(spark, d):
     return _root(spark, d, "nation", "n_nationkey", "n_name").throttle(1000, 1.0).values(n_nationkey="k0")
 
 
+def _flushes(spark: SparkSession, step: Step) -> DataFrame:
+    """flush_no, n: how many elements a sink had got at each of its flushes since the one before; what a flush at the end adds nothing to isn't one."""
+    seen, flushes = [0, 0], []
+
+    def process(_):
+        seen[0] += 1
+
+    def flush():
+        if seen[0] > seen[1]:
+            flushes.append((len(flushes) + 1, seen[0] - seen[1]))
+            seen[1] = seen[0]
+
+    step.to(Callback(process, flush))
+    return spark.createDataFrame(flushes, "flush_no bigint, n bigint")
+
+
 @query("SELECT i::BIGINT AS flush_no, least(1000, c-(i-1)*1000)::BIGINT AS n FROM (SELECT count(*) AS c FROM orders), range(1, 1+(SELECT ceil(count(*)/1000.0)::BIGINT FROM orders)) t(i)")
 def sink_flush_each(spark, d):
-    return _root(spark, d, "orders", "o_orderkey", "o_orderstatus").each(1000).batches()
+    return _flushes(spark, _root(spark, d, "orders", "o_orderkey", "o_orderstatus").each(1000))
 
 
 @query("SELECT 1::BIGINT AS flush_no, count(*) AS n FROM orders")
 def sink_flush_end(spark, d):
-    return _root(spark, d, "orders", "o_orderkey", "o_orderstatus").batches()
+    return _flushes(spark, _root(spark, d, "orders", "o_orderkey", "o_orderstatus"))
 
 
-@query()
+@query("SELECT count(*) AS n FROM events")
 def stream_count_every(spark, d):
     from brookline.streaming.runner import count_every
 
@@ -294,7 +315,7 @@ def stream_count_every(spark, d):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
     if not _is_file(f"{d}/events.parquet"):
         stream = spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
-    done = count_every(stream, 1.0, "brookline_count", once=True)
+    done = count_every(stream, 1.0, "brookline_count", once=True, checkpoint=f"{Scratch(spark).base}/count")
     done.awaitTermination()
     return spark.table("brookline_count")
 
@@ -305,6 +326,20 @@ def _is_file(path: str) -> bool:
     return os.path.isfile(path)
 
 
+@query("WITH d AS (SELECT event_id, row_number() OVER(ORDER BY event_id) rn, count(*) OVER() n, sum(user_id) OVER(ORDER BY event_id) acc FROM events) SELECT ceil(rn/999.0)::BIGINT AS emit_no, acc::BIGINT AS acc FROM d WHERE rn%999=0 OR rn=n")
+def stream_fold_each(spark, d):
+    """A running fold over a stream, and what is left of it when the stream ends."""
+    scratch, got = Scratch(spark), []
+    events = spark.readStream.schema(_table(spark, d, "events").schema)
+    events = events.option("pathGlobFilter", "events.parquet").parquet(d) if _is_file(f"{d}/events.parquet") else events.parquet(f"{d}/events.parquet")
+    step = Flow(spark).table(events, "event_id", "user_id", LONG, F.col("ts")).fold(Fold("sum", lambda v: v)).each(999)
+    step.run(lambda out: got.append(scratch.keep(out.select(F.col("k0").alias("emit_no"), F.col("value").alias("acc")), "emitted")), f"{scratch.base}/fold", once=True)
+    out = got[0]
+    for more in got[1:]:
+        out = out.unionByName(more)
+    return out
+
+
 # Codecs.
 
 
@@ -331,7 +366,8 @@ def xml_children_count(spark, d):
 @query("SELECT r_regionkey, '<r><k>'||r_regionkey||'</k><n>'||r_name||'</n></r>' AS x FROM region")
 def xml_round_trip(spark, d):
     doc = F.format_string("<r><k>%d</k><n>%s</n></r>", "r_regionkey", "r_name")
-    return _root(spark, d, "region", "r_regionkey", doc).map(lambda v: xml.encode_nodes(xml.decode_nodes(v))).values(r_regionkey="k0", x="value")
+    parsed = _root(spark, d, "region", "r_regionkey", doc).code(XML).map(lambda v: xml.encode_nodes(xml.decode_nodes(v)))
+    return parsed.code(BINARY).code(STRING).values(r_regionkey="k0", x="value")
 
 
 @query("SELECT doc_id, text FROM documents")
@@ -394,9 +430,9 @@ def net_merge_ordered(spark, d):
     return _events(spark, d, "event_type", STRING).spread(4).gather().numbered().select(F.col("k0").alias("event_id"), F.col("rn").alias("pos"))
 
 
-@query("SELECT event_id, row_number() OVER(ORDER BY event_id) AS pos FROM events WHERE user_id%2=0")
+@query("SELECT event_id, row_number() OVER(ORDER BY event_id) AS pos FROM events WHERE event_type='purchase'")
 def net_merge_with_filter(spark, d):
-    step = _events(spark, d, "event_type", STRING, where="user_id % 2 = 0").spread(4).filter(lambda v: v.isNotNull()).gather()
+    step = _events(spark, d, "event_type", STRING).spread(4).filter(lambda v: v.cast("string") == "purchase").gather()
     return step.numbered().select(F.col("k0").alias("event_id"), F.col("rn").alias("pos"))
 
 

@@ -1,4 +1,4 @@
-"""Sinks: lines to a stream, callbacks, Kafka and AMQP."""
+"""Sinks: lines to a stream, callbacks on the driver or in tasks, Kafka and AMQP."""
 
 from __future__ import annotations
 
@@ -61,32 +61,72 @@ class Callback:
         return n
 
 
+class PerTask:
+    """A sink with resources in each task: make() gives an object with process(value), flush() and close().
+
+    Elements are in order within a task, and tasks have consecutive ranges of the order; flush() comes
+    each `each` elements of a task and at its end. In a stream every micro-batch is written so.
+    """
+
+    def __init__(self, make: Callable[[], Any], takes: Kind = ANY):
+        self.make, self.takes = make, takes
+
+    def write(self, step, options) -> None:
+        make, each = self.make, options.each
+
+        def run(rows: Iterable) -> None:
+            sink = make()
+            try:
+                for n, row in enumerate(rows, 1):
+                    sink.process(row["value"])
+                    if each and n % each == 0:
+                        sink.flush()
+                sink.flush()
+            finally:
+                sink.close()
+
+        step.frame().orderBy(*step.keys).select("value").foreachPartition(run)
+
+
 class KafkaSink:
-    """Keys, values and headers to a topic, by Spark's connector (at least once)."""
+    """Keys, values and headers to a topic, by Spark's connector (at least once).
+
+    The connector sets no timestamp on what it writes; with `stamp`, an element's time goes into a header of that
+    name, in seconds. A stream needs `checkpoint`, and its query is returned, running.
+    """
 
     takes = KVM
 
-    def __init__(self, topic: str, servers: str, options: dict[str, str] | None = None):
-        self.topic, self.options = topic, {"kafka.bootstrap.servers": servers, **(options or {})}
+    def __init__(self, topic: str, servers: str, options: dict[str, str] | None = None, stamp: str = "", checkpoint: str = ""):
+        self.topic, self.options, self.stamp, self.checkpoint = topic, {"kafka.bootstrap.servers": servers, **(options or {})}, stamp, checkpoint
 
     def rows(self, step) -> DataFrame:
         headers = F.transform(F.map_entries(F.coalesce(F.col("value.headers"), F.create_map().cast("map<string,binary>"))), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value")))
-        return step.frame().select(F.col("value.key").alias("key"), F.col("value.value").alias("value"), headers.alias("headers"), F.lit(self.topic).alias("topic"), F.col("ts").alias("timestamp"))
+        if self.stamp:
+            time = F.struct(F.lit(self.stamp).alias("key"), F.unix_seconds("ts").cast("string").cast("binary").alias("value"))
+            headers = F.when(F.col("ts").isNull(), headers).otherwise(F.array_append(F.filter(headers, lambda h: h["key"] != self.stamp), time))
+        return step.frame().select(F.col("value.key").alias("key"), F.col("value.value").alias("value"), headers.alias("headers"), F.lit(self.topic).alias("topic"))
 
     def write(self, step, options) -> Any:
-        df = self.rows(step).drop("timestamp")
-        if df.isStreaming:
-            return df.writeStream.format("kafka").options(**self.options)
-        return df.write.format("kafka").options(**self.options).save()
+        df = self.rows(step)
+        if not df.isStreaming:
+            return df.write.format("kafka").options(**self.options).save()
+        if not self.checkpoint:
+            raise ValueError("a stream to Kafka needs a checkpoint folder")
+        return df.writeStream.format("kafka").options(**self.options).option("checkpointLocation", self.checkpoint).start()
 
 
 class AmqpSink:
-    """Persistent messages from each partition over a client of its own; a message that the broker doesn't confirm fails the task."""
+    """Persistent messages from each task over a client of its own; a message that the broker doesn't confirm fails the task.
+
+    With `ordered` one task publishes all in order, which is what an order of publication means. In a stream
+    (through Step.run) each micro-batch is published so.
+    """
 
     takes = BINARY
 
-    def __init__(self, connect: Callable[[], Any], exchange: str, binding_key: str):
-        self.connect, self.exchange, self.key = connect, exchange, binding_key
+    def __init__(self, connect: Callable[[], Any], exchange: str, binding_key: str, ordered: bool = False):
+        self.connect, self.exchange, self.key, self.ordered = connect, exchange, binding_key, ordered
 
     def write(self, step, options) -> None:
         connect, exchange, key = self.connect, self.exchange, self.key
@@ -97,4 +137,7 @@ class AmqpSink:
                 if not client.publish(exchange, key, bytes(row["value"]), True):
                     raise OSError("the broker did not confirm a message")
 
-        step.frame().select("value").foreachPartition(publish)
+        df = step.frame()
+        if self.ordered:
+            df = df.repartition(1).sortWithinPartitions(*step.keys)
+        df.select("value").foreachPartition(publish)

@@ -11,7 +11,7 @@ from brookline.functions import basic, xml
 from brookline.functions.registry import DEFAULT, Codec, path
 from brookline.operators.flow import Flow, Fold, Mapper
 from brookline.sources.sequence import Cycle, Items
-from brookline.types import ANY, BINARY, INT, KV, KVM, LONG, STRING, URL, XML, record
+from brookline.types import ANY, BINARY, INT, KV, KVM, LONG, PYTHON, STRING, URL, XML, record
 
 
 def values(step):
@@ -201,12 +201,49 @@ def test_branches_both_get_everything(spark):
     assert values(step.map(lambda v: -v)) == [-1, -2, -3, -4]
 
 
-def test_batches(spark):
-    rows = lambda s: sorted(tuple(r) for r in s.batches().collect())
-    assert rows(numbers(spark, 10).each(4)) == [(1, 4), (2, 4), (3, 2)]
-    assert rows(numbers(spark, 8).each(4)) == [(1, 4), (2, 4)]
-    assert rows(numbers(spark, 5)) == [(1, 5)]
-    assert rows(numbers(spark, 5).filter(lambda v: v > 9)) == []
+def long_word(v: int) -> bool:
+    return v > 1
+
+
+class Even(Mapper):
+    takes, gives = LONG, PYTHON[bool]
+
+    def prepare(self):
+        return lambda v: v % 2 == 0
+
+
+def sizes(batches):
+    for pdf in batches:
+        yield pdf.assign(k1=0, value=len(pdf))[["k0", "k1", "ts", "value"]]
+
+
+def test_options_take_effect(spark):
+    tasks = lambda step: step.frame().rdd.getNumPartitions()
+    assert tasks(numbers(spark, 9, 8).map(lambda_add).par(3)) == 3 and tasks(numbers(spark, 9, 8).filter(long_word).par(2)) == 2
+    assert tasks(numbers(spark, 9, 8).map(lambda v: v + 1).par(3)) == 8
+    assert tasks(numbers(spark, 9, 8).throttle(1000, 1.0)) == 1
+    assert values(numbers(spark, 5).process(sizes, LONG).buffer(2)) == [2, 2, 2, 2, 1] and values(numbers(spark, 5).process(sizes, LONG)) == [5] * 5
+    assert values(numbers(spark, 5).filter(Even())) == [2, 4]
+    with pytest.raises(TypeError):
+        numbers(spark, 5).filter(Prefix())
+    with pytest.raises(ValueError):
+        numbers(spark, 5).buffer(0)
+    with pytest.raises(ValueError):
+        numbers(spark, 5).throttle(0, 1.0)
+
+
+def lambda_add(v: int) -> int:
+    return v + 1
+
+
+def test_folds_in_stretches(spark, monkeypatch):
+    from brookline.operators import numbering
+
+    monkeypatch.setattr(numbering, "STRETCH", 3)
+    want = [sum(range(1, i + 1)) for i in range(1, 26) if i % 2 == 0 or i == 25]
+    assert values(numbers(spark, 25, 4).fold(Fold("sum", lambda v: v)).each(2)) == want
+    assert values(numbers(spark, 25, 4).fold(Fold("min", lambda v: 9 - v, None)).each(6)) == [3, -3, -9, -15, -16]
+    assert values(numbers(spark, 8, 4).fold(Fold("max", lambda v: F.when(v > 5, v), None)).each(2)) == [None, None, 6, 8]
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -7,12 +7,12 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from brookline.operators.flow import Flow
+from brookline.operators.flow import Flow, Fold
 from brookline.sources import brokers
 from brookline.sources.brokers import Kafka
 from brookline.sources.files import Contents, Directory, Lines, read_urls
 from brookline.sources.sequence import Items
-from brookline.sources.sinks import AmqpSink, Callback, KafkaSink, Out
+from brookline.sources.sinks import AmqpSink, Callback, KafkaSink, Out, PerTask
 from brookline.streaming import runner
 from brookline.types import KVM, LONG, STRING
 
@@ -62,6 +62,10 @@ def test_kafka_rows(spark):
     step = Flow(spark).source(Items(["x"])).code(KVM)
     row = KafkaSink("topic", "host:1").rows(step).first()
     assert (row["key"], bytes(row["value"]), row["headers"], row["topic"]) == (None, b"x", [], "topic")
+    stamped = KafkaSink("topic", "host:1", stamp="at").rows(Flow(spark).table(raw, "offset", F.struct(F.col("key"), F.col("value"), F.create_map(F.lit("at"), F.lit(b"?"), F.lit("h"), F.lit(b"1")).alias("headers")), KVM, F.col("timestamp")))
+    assert {tuple((h["key"], bytes(h["value"])) for h in r["headers"]) for r in stamped.collect()} == {(("h", b"1"), ("at", b"1700000000")), (("h", b"1"), ("at", b"5"))}
+    with pytest.raises(ValueError):
+        KafkaSink("topic", "host:1").write(Flow(spark).table(spark.readStream.format("rate").load(), "value", "value", LONG).map(lambda v: F.struct(F.lit(None).cast("binary").alias("key"), v.cast("string").cast("binary").alias("value"), F.create_map().cast("map<string,binary>").alias("headers")), gives=KVM), None)
 
 
 class Broker:
@@ -88,8 +92,8 @@ class Broker:
 
 def test_amqp_reader():
     broker = Broker([b"a", b"b", b"c"])
-    brokers.register_client("fake", lambda: broker)
-    r = brokers.AmqpReader({"client": "fake", "queue": "q", "exchange": "e", "binding_key": "k", "prefetch_count": "2"})
+    r = brokers.AmqpReader({"client": brokers.portable(lambda: broker), "queue": "q", "exchange": "e", "binding_key": "k", "prefetch_count": "2"})
+    broker = r.client  # the function went through its text
     rows, end = r.read(r.initialOffset())
     assert [x[2] for x in rows] == [b"a", b"b"] and end == {"tag": 2}
     r.commit(end)
@@ -102,6 +106,58 @@ def test_amqp_reader():
     assert broker.log[-1] == ("declare", "e", "topic", "q", True)
 
 
+class FileBroker:
+    """A queue in a folder: lines that wait, and how many are acknowledged. A connection counts its deliveries from 1."""
+
+    def __init__(self, at):
+        self.at, self.tag = at, 0
+        self.base = self.acknowledged()
+
+    def acknowledged(self):
+        return int(open(f"{self.at}/acks").read().split()[-1])
+
+    def bind(self, *a):
+        pass
+
+    def qos(self, count, size):
+        self.count = count
+
+    def get(self, queue):
+        waiting = open(f"{self.at}/{queue}").read().split()
+        if self.base + self.tag >= len(waiting) or self.base + self.tag - self.acknowledged() >= self.count:
+            return None
+        self.tag += 1
+        return self.tag, 10.5 + self.tag, waiting[self.base + self.tag - 1].encode()
+
+    def ack(self, tag, multiple):
+        with open(f"{self.at}/acks", "a") as f:
+            f.write(f"{self.base + tag}\n")
+
+
+def test_amqp_stream_acknowledges_and_restarts(spark, tmp_path):
+    at = str(tmp_path)
+    (tmp_path / "acks").write_text("0\n")
+    (tmp_path / "q").write_text("a\nb\nc\n")
+
+    def connect():
+        return FileBroker(at)
+
+    got = []
+    for more in ("", "d\ne\n"):
+        with open(f"{at}/q", "a") as f:
+            f.write(more)
+        step = Flow(spark).source(brokers.Amqp(connect, "q", "e", "k")).buffer(2).code(STRING).map(F.upper)
+        query = step.run(lambda df: got.extend(r["value"] for r in df.orderBy("k0").collect()), f"{at}/ck")
+        for _ in range(300):
+            if len(got) >= (5 if more else 3):
+                break
+            time.sleep(0.1)
+        query.finish()
+    assert got == ["A", "B", "C", "D", "E"]
+    acks = [int(x) for x in (tmp_path / "acks").read_text().split()]
+    assert acks == sorted(acks) and acks[-1] >= 3
+
+
 def test_amqp_sink(spark, tmp_path):
     at = str(tmp_path / "sent")
 
@@ -113,6 +169,8 @@ def test_amqp_sink(spark, tmp_path):
 
     Flow(spark).source(Items(["a", "b"])).to(AmqpSink(Confirming, "e", "k"))
     assert sorted(open(at, "rb").read().split()) == [b"a", b"b"]
+    Flow(spark).source(Items(list("qponm"))).to(AmqpSink(Confirming, "e", "k", ordered=True))
+    assert open(at, "rb").read().split()[2:] == [b"q", b"p", b"o", b"n", b"m"]
     with pytest.raises(Exception, match="confirm"):
         Flow(spark).source(Items(["bad"])).to(AmqpSink(Confirming, "e", "k"))
 
@@ -136,7 +194,7 @@ def test_stream_fold_restarts_from_its_checkpoint(spark, tmp_path):
     assert sorted(tuple(r) for r in spark.read.parquet(out).collect()) == [(1, 6), (2, 21), (3, 45)]
 
 
-def test_stream_count_limit_and_flush(spark, tmp_path):
+def test_stream_count(spark, tmp_path):
     q = runner.count_every(spark.readStream.format("rate").option("rowsPerSecond", 50).load(), 0.5, "ticks")
     for _ in range(60):
         time.sleep(0.5)
@@ -144,12 +202,99 @@ def test_stream_count_limit_and_flush(spark, tmp_path):
             break
     assert spark.table("ticks").first()["n"] > 0
     q.stop()
+
+
+class Log:
+    """A task's sink, with a file for each task."""
+
+    def __init__(self, at):
+        import uuid
+
+        self.to = open(f"{at}/{uuid.uuid4().hex}", "w")
+
+    def process(self, v):
+        self.to.write(f"{v} ")
+
+    def flush(self):
+        self.to.write("| ")
+
+    def close(self):
+        self.to.write("end")
+        self.to.close()
+
+
+def test_sink_in_tasks(spark, tmp_path):
+    at = str(tmp_path)
+    Flow(spark).table(spark.range(1, 6, numPartitions=3).coalesce(1), "id", "id", LONG).each(2).to(PerTask(lambda: Log(at)))
+    logs = [p.read_text() for p in tmp_path.iterdir()]
+    assert all(x.endswith("| end") for x in logs)
+    assert sorted(int(v) for x in logs for v in x.split() if v.isdigit()) == [1, 2, 3, 4, 5]
+
+
+def appended(spark, at, low, high):
+    spark.range(low, high).select(F.col("id").alias("value"), F.col("id").alias("k")).coalesce(1).write.mode("append").parquet(at)
+
+
+def flow_over(spark, at):
+    stream = spark.readStream.schema("value bigint, k bigint").option("maxFilesPerTrigger", 1).parquet(at)
+    return Flow(spark).table(stream, "k", "value", LONG)
+
+
+def test_flow_over_a_stream_folds_as_over_a_batch(spark, tmp_path):
+    """Triggers across micro-batches, the rest at the end, a restart, folds of folds, and functions without a parallel form."""
+    src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    appended(spark, src, 1, 5)
+    appended(spark, src, 5, 8)
+
+    def run(build, folder):
+        got = []
+        build(flow_over(spark, src)).run(lambda df: got.extend((r["k0"], r["value"]) for r in df.orderBy("k0").collect()), f"{ck}/{folder}", once=True)
+        return got
+
+    total = lambda s: s.map(lambda v: v * 10).fold(Fold("sum", lambda v: v)).each(3)
+    assert run(total, "sum") == [(1, 60), (2, 210), (3, 280)]
+    assert run(lambda s: s.fold(lambda_fold, 0).each(3), "seq") == [(1, 11), (2, 120), (3, 247)]
+    assert [v for _, v in run(lambda s: s.count(), "count")] == [7]
+    assert [v for _, v in run(lambda s: s.count().every(0.1), "every")] == [4, 7]
+    assert [v for _, v in run(lambda s: s.count().each(2).count().each(3), "nested")] == [3, 4]
+    assert [v for _, v in run(lambda s: s.fold(Fold("max", lambda v: -v, None)).each(5), "max")] == [-1, -1]
+    assert run(lambda s: s.filter(lambda v: v > 99).count().each(2), "none") == []
+    appended(spark, src, 8, 10)
+    assert run(total, "sum") == [(3, 450)] and run(lambda s: s.count(), "count")[0][1] == 9
+
+
+def test_flow_over_a_stream_is_limited_across_restarts(spark, tmp_path):
+    src, ck = str(tmp_path / "in"), str(tmp_path / "ck")
+    appended(spark, src, 1, 4)
     got = []
-    stream = runner.rated(lambda n: spark.readStream.format("rate").option("rowsPerSecond", n).option("numPartitions", 1).load(), 100)
-    n = runner.run_limited(stream, ["value"], 25, lambda df: got.extend(r["value"] for r in df.collect()), str(tmp_path / "ck"))
-    assert n == 25 and got == list(range(25))
+    run = lambda: flow_over(spark, src).filter(lambda v: v != 2).limit(3).run(lambda df: got.extend(r["value"] for r in df.orderBy("k0").collect()), ck, once=True)
+    run()
+    assert got == [1, 3]
+    appended(spark, src, 4, 9)
+    run()
+    run()
+    assert got == [1, 3, 4]
     with pytest.raises(ValueError):
-        runner.rated(lambda n: None, 0)
-    limited = Flow(spark).table(stream, "value", "value", LONG).limit(3)
+        flow_over(spark, src).limit(3).frame()
     with pytest.raises(ValueError):
-        limited.frame()
+        flow_over(spark, src).count().frame()
+    with pytest.raises(ValueError):
+        Flow(spark).source(Items(["a"])).run(print, ck)
+
+
+def test_a_reached_limit_stops_the_stream(spark, tmp_path):
+    got = []
+    stream = spark.readStream.format("rate").option("rowsPerSecond", 100).option("numPartitions", 1).load()
+    query = Flow(spark).table(stream, "value", "value", LONG).limit(25).run(lambda df: got.extend(r["value"] for r in df.orderBy("k0").collect()), str(tmp_path / "ck"))
+    query.awaitTermination(60)
+    assert not query.isActive and got == list(range(25))
+
+
+def test_throttle_takes_its_time(spark):
+    began = time.time()
+    assert Flow(spark).source(Items(list("abcdefgh"))).throttle(4, 1.0).frame().count() == 8
+    assert time.time() - began >= 2.0
+
+
+def lambda_fold(acc: int, v: int) -> int:
+    return acc * 2 + v
