@@ -1,22 +1,25 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
-The unit is a token: a word, or a run of single letters joined ("i d i o t"). The kernel of
-two tokens sums, over the subsequences of three and four letters that both hold, the product
+A text is judged by its units: a word, a run of single letters joined ("i d i o t"), or two
+neighbouring short words ("id iot"), which counts where neither word passes the second level by itself. The kernel of
+two units sums, over the subsequences of three and four letters that both hold, the product
 of their weights: a subsequence that spans s characters weighs DECAY**s, so gaps and inserted
 characters cost something and don't hide an insult ("id-iot", "idxiot"). Spans are limited
-(SPAN). Characters that are no letters are gaps; digits count as the letters they look like.
-Each token's weights are divided by their norm.
+(SPAN). Characters that are no letters are gaps; digits count as the letters they look like, and
+all bytes of other scripts as four letters. Each unit's weights are divided by their norm.
 
 Fit, from a bounded sample of labelled documents (`per_class` of each class): document
 frequencies of tokens in each class are counted on the cluster, over one document of each set
 of copies (those that share the smallest hash of their word triples), since words that came
 along in copies tell nothing. Tokens that are frequent in label 1 (LEAST of its documents) and
 rare in label 0 are the positive landmarks; tokens of label-0 documents, first any, then those
-that the machine so far takes for insults, are the negative ones. A squared-hinge SVM is
-trained on their Nystroem features, MINING times. The decision
+that the machine so far takes for insults, are the negative ones. (The labels are of whole documents. A further
+round over their sentences, each standing for itself by its highest unit, did worse on held-out labels; README has the figures.)
+
+Each time a squared-hinge SVM is trained on the examples' Nystroem features. The decision
 is linear in the subsequences' weights, so the landmarks fold into one table of fixed size
-(32**3 + 32**4 floats) and a token costs a sum of look-ups. A logistic curve on a document's
-two highest token decisions and on how many tokens pass three levels, fitted on the same sample,
+(32**3 + 32**4 floats) and a unit costs a sum of look-ups. A logistic curve on a document's
+two highest decisions and on how many units pass three levels, fitted on the same sample,
 gives the score.
 
 Whole texts are read; a token longer than WIDE is cut into overlapping windows. Defined
@@ -28,7 +31,7 @@ rows score equally; extra columns are ignored, or kept by drop_toxic(), whatever
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -41,8 +44,10 @@ from brookline.llm.shared import labelled
 
 PER_CLASS, CANDIDATES, CLEAN_TOKENS, CLEAN_LANDMARKS = 1500, 160, 1500, 64
 LEAST, ODDS, MINING, LEVELS = 0.008, 8.0, 1, (0.0, 0.4, 0.7)
+#: Bytes that either of two joined words has at most.
+SHORT = 5
 DECAY, SPAN, WIDE, STEP = 0.6, {3: 6, 4: 8}, 32, 20
-CACHE = 1 << 20
+CACHE_BITS = 19
 
 CODE = np.zeros(256, np.int32)
 CODE[97:123] = np.arange(1, 27)
@@ -192,38 +197,52 @@ def train(toxic: list[bytes], clean: list[bytes], landmarks: int = CLEAN_LANDMAR
 
 
 class Tokens:
-    """Distinct tokens of chunks, with a cache of decisions by hash."""
+    """Decisions of a chunk's units, with a cache by hash: a table of fixed size where a later unit takes the place of an earlier one."""
 
     def __init__(self, table: np.ndarray, bias: float):
         self.table, self.bias = table, bias
-        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, np.float32)
+        self.keys, self.values = np.zeros(1 << CACHE_BITS, np.uint64), np.full(1 << CACHE_BITS, np.nan, np.float32)
+
+    def _decide(self, h: np.ndarray, cut: Callable[[int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The decision of each hash, cut(k) being the bytes behind the k-th; and which hashes are the same."""
+        uniq, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+        slot = (uniq & np.uint64((1 << CACHE_BITS) - 1)).astype(np.int64)
+        f = np.where(self.keys[slot] == uniq, self.values[slot], np.float32(np.nan))
+        new = np.flatnonzero(np.isnan(f))
+        if len(new):
+            f[new] = decisions([cut(k) for k in at[new].tolist()], self.table, self.bias)
+            self.keys[slot[new]], self.values[slot[new]] = uniq[new], f[new]
+        return f[inverse], inverse
+
+    def units(self, chunk: T.Chunk, w: T.Words, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Decisions of all words, and which are the same; first words of joined neighbours, and their decisions."""
+        start, end, row = w.start, w.end, w.rows
+        value, same = self._decide(w.hash, lambda k: data[start[k] : end[k]])
+        short = end - start <= SHORT
+        at = np.flatnonzero(short[:-1] & short[1:] & (row[:-1] == row[1:]))
+        at = at[np.maximum(value[at], value[at + 1]) <= LEVELS[1]]
+        joined = T.mix(T.mix(w.hash[at] + np.uint64(0x632BE59BD9B4E019)) ^ w.hash[at + 1])
+        pair, _ = self._decide(joined, lambda k: data[start[at[k]] : end[at[k]]] + b" " + data[start[at[k] + 1] : end[at[k] + 1]])
+        return value, same, at, pair
 
     def top(self, chunk: T.Chunk) -> np.ndarray:
-        """Of each row: the two highest decisions (the bias where there are fewer tokens), and logs of how many tokens pass each level."""
+        """Of each row: the two highest decisions (the bias where there are fewer units), and logs of how many units pass each level."""
         out = np.zeros((chunk.rows, 2 + len(LEVELS)), np.float32)
         out[:, :2] = min(self.bias, -1.0)
         w = T.words(chunk, lower=True)
         if not len(w.hash):
             return out
-        uniq, at, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
-        f = np.full(len(uniq), np.nan, np.float32)
-        if len(self.keys):
-            pos = np.searchsorted(self.keys, uniq)
-            pos[pos == len(self.keys)] = 0
-            hit = self.keys[pos] == uniq
-            f[hit] = self.values[pos[hit]]
-        new = np.flatnonzero(np.isnan(f))
         data = chunk.data.tobytes()
-        if len(new):
-            f[new] = decisions([data[s:e] for s, e in zip(w.start[at[new]].tolist(), w.end[at[new]].tolist())], self.table, self.bias)
-            self._remember(uniq[new], f[new])
-        value = f[inverse]
+        value, same, at, pair = self.units(chunk, w, data)
         row = w.rows
         out[:, 0] = np.maximum(out[:, 0], _highest(value, w.first))
-        other = np.where(uniq[inverse] == uniq[inverse][_where_highest(value, row, w.first)][row], -np.inf, value)
+        other = np.where(same == same[_where_highest(value, row, w.first)][row], -np.inf, value)
         out[:, 1] = np.maximum(out[:, 1], _highest(other, w.first))
+        if len(at):
+            best = _highest(pair, np.searchsorted(row[at], np.arange(chunk.rows + 1)))
+            out[:, :2] = -np.sort(-np.stack([out[:, 0], out[:, 1], best], axis=1), axis=1)[:, :2]
         for k, level in enumerate(LEVELS, 2):
-            out[:, k] = np.bincount(row, weights=value > level, minlength=chunk.rows)
+            out[:, k] = np.bincount(row, weights=value > level, minlength=chunk.rows) + np.bincount(row[at], weights=pair > level, minlength=chunk.rows)
         for r, joined in _spelled(chunk, w, data):
             s = decisions([joined], self.table, self.bias)[0]
             out[r, :2] = sorted([s, *out[r, :2]], reverse=True)[:2]
@@ -231,14 +250,6 @@ class Tokens:
         out[:, 2:] = np.log1p(out[:, 2:])
         return out
 
-    def _remember(self, keys: np.ndarray, values: np.ndarray) -> None:
-        if len(self.keys) + len(keys) > CACHE:
-            self.keys, self.values = self.keys[:0], self.values[:0]
-        if len(keys) <= CACHE:
-            k, v = np.concatenate([self.keys, keys]), np.concatenate([self.values, values])
-            order = np.argsort(k)
-            self.keys, self.values = k[order], v[order]
-
 
 def _highest(value: np.ndarray, first: np.ndarray) -> np.ndarray:
     out = np.full(len(first) - 1, -np.inf, np.float32)

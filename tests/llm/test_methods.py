@@ -46,6 +46,77 @@ def test_kernel_tolerates_gaps():
     assert hit.min() > miss.max()
 
 
+def test_kernel_is_that_of_plain_subsequences():
+    """All subsequences of three and four letters within their spans, listed one by one."""
+    from collections import Counter
+    from itertools import combinations
+
+    def weights(token):
+        codes, out = [int(toxicity.CODE[c]) for c in b"^" + token], Counter()
+        for n, span in toxicity.SPAN.items():
+            for at in combinations(range(len(codes)), n):
+                if at[-1] - at[0] < span and all(codes[k] for k in at):
+                    out[tuple(codes[k] for k in at)] += toxicity.DECAY ** (at[-1] - at[0] + 1)
+        return out
+
+    def plain(a, b):
+        norm = lambda x: sum(v * v for v in x.values()) ** 0.5
+        # The norm is that of the single occurrences, as a token is looked up.
+        once = lambda t: sum(toxicity.DECAY ** (2 * (at[-1] - at[0] + 1)) for n, span in toxicity.SPAN.items() for at in combinations(range(len(t) + 1), n) if at[-1] - at[0] < span and all(int(toxicity.CODE[(b"^" + t)[k]]) for k in at)) ** 0.5
+        x, y = weights(a), weights(b)
+        assert norm(x) > 0
+        return sum(v * y[k] for k, v in x.items()) / (once(a) * once(b))
+
+    tokens = [b"idiot", b"id iot", b"idxiot", b"the", b"morning", b"1d10t", b"i.d.i.o.t"]
+    got = toxicity._kernel(tokens, tokens)
+    assert np.allclose(got, [[plain(a, b) for b in tokens] for a in tokens], atol=1e-9)
+    toxic, clean = [b"idiot", b"moron"], [b"the", b"edition", b"morning", b"more"] * 3
+    table_, bias = toxicity.train(toxic, clean)
+    cells = lambda t: [(cell[0, k], w) for cell, real, w in toxicity._cells(toxicity._codes([t])[0]) for k in np.flatnonzero(real[0])]
+    for t in tokens:
+        own = cells(t)
+        want = sum(float(table_[c]) * w for c, w in own) / sum(w * w for _, w in own) ** 0.5 + bias
+        assert toxicity.decisions([t], table_, bias)[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_neighbouring_short_words_are_a_unit():
+    """A space in an insult is a gap as any other: the pair is decided as the same unit with a gap is, and only where neither word decides."""
+    import pyarrow as pa
+
+    from brookline.llm import text as T
+
+    table_, bias = toxicity.train([b"idiot", b"moron"], [b"the", b"hean", b"thinion", b"ofed", b"edition", b"morning", b"more"] * 8)
+    texts = ["see the id iot there", "of the mo ron", "the idiot", "id\niot", "id", None, "the hean of it", "longer sentences follow"]
+    chunk = next(T.chunks(pa.array(texts)))
+    tokens, w = toxicity.Tokens(table_, bias), T.words(chunk, lower=True)
+    _, _, at, pair = tokens.units(chunk, w, chunk.data.tobytes())
+    own = {(int(w.rows[k]), chunk.data[w.start[k] : w.end[k + 1]].tobytes()): float(v) for k, v in zip(at, pair)}
+    gapped = toxicity.decisions([b"id iot", b"mo ron"], table_, bias)
+    assert own[0, b"id iot"] == pytest.approx(gapped[0], abs=1e-5) and own[1, b"mo ron"] == pytest.approx(gapped[1], abs=1e-5)
+    assert (2, b"the idiot") not in own and all(r not in (4, 5, 7) for r, _ in own)
+    top = tokens.top(chunk)[:, 0]
+    assert min(top[0], top[1], top[2], top[3]) > max(top[4], top[5], top[6], top[7])
+
+
+def test_votes_are_those_of_plain_neighbours():
+    """Quality against a plain k-nearest-neighbour vote over cosines in the fitted space."""
+    from brookline.llm import quality
+
+    rng = np.random.default_rng(16)
+    x = rng.poisson(0.3, (90, quality.BUCKETS + quality.EXTRA)).astype(np.float32)
+    y = rng.integers(0, 2, 90)
+    voters = quality.Voters(x, y, 12, 5)
+    new = np.vstack([rng.poisson(0.3, (40, x.shape[1])).astype(np.float32), np.zeros((1, x.shape[1]), np.float32)])
+    unit = lambda v: v / max(float(np.sqrt((v * v).sum())), 1e-12)
+    space = lambda r: unit(unit(r * voters.weight) @ voters.axes)
+    known, want = [space(r) for r in x], []
+    for r in new:
+        near = sorted(((float(space(r) @ k), i) for i, k in enumerate(known)), reverse=True)[:5]
+        weigh = [max(0.0, c) ** quality.POWER for c, _ in near]
+        want.append(sum(w * y[i] for w, (_, i) in zip(weigh, near)) / sum(weigh) if r.any() and sum(weigh) > 1e-12 else y.mean())
+    assert np.allclose(voters.score(new), want, atol=1e-4)
+
+
 def test_substring_dedup(spark, rows):
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in run(spark, "op2_substring_dedup")} == brute.repeats(rows, 50)
 
