@@ -42,7 +42,7 @@ from brookline.llm import text as T
 from brookline.llm.graph import components as connected
 from brookline.llm.shared import Scratch, small
 
-SCALES, STACK = tuple(2 ** (-k / 4) for k in range(5)), 64
+SCALES, STACK = tuple(2 ** (-k / 4) for k in range(5)), 16
 BITS, RADIUS, TURNS = 256, 10, 30
 MATCH, INLIERS, NEAR, KEYS = 40, 14, 2.0, 2
 #: Of each table: bits of either corner, neighbours of a corner, and how far away they are at least and at most.
@@ -332,23 +332,24 @@ def _confirm(pairs: pa.Table, features: pa.Table) -> pa.Table:
 
 
 class _Links:
-    """Confirmation of candidate pairs (u, v)."""
+    """Confirmation of candidate pairs (u, v). seen: image_id and n_corners of every picture."""
 
-    def __init__(self, images: DataFrame, scratch: Scratch):
-        self.images, self.scratch = images, scratch
+    def __init__(self, images: DataFrame, seen: DataFrame, scratch: Scratch):
+        repeated = seen.where("image_id is not null").groupBy("image_id").count().where("count > 1").limit(1).count()
+        self.images, self.seen, self.scratch, self.repeated = images, seen, scratch, bool(repeated)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """A written table of the links among the pairs, which are a written table too."""
         scratch = self.scratch
         ids = scratch.keep(pairs.select(F.explode(F.array("u", "v")).alias("image_id")).distinct(), "ids")
-        asked = self.images.join(small(ids), "image_id", "left_semi").dropDuplicates(["image_id"])
-        own = scratch.keep(asked.select("image_id", "image").mapInArrow(_again, "image_id long, spots binary, bits binary"), "described")
-        weight = own.agg(F.sum(F.octet_length("spots") + F.octet_length("bits"))).first()[0] or 0
+        asked = self.images.join(small(ids), "image_id", "left_semi")
+        own = (asked.dropDuplicates(["image_id"]) if self.repeated else asked).select("image_id", "image").mapInArrow(_again, "image_id long, spots binary, bits binary")
+        weight = (self.seen.join(small(ids), "image_id", "left_semi").agg(F.sum("n_corners")).first()[0] or 0) * (16 + BITS // 8)
         block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(weight // BLOCK + 1, 8)))
         placed = pairs.select("u", "v", block("u").alias("bu"), block("v").alias("bv"))
         needed = placed.select(F.col("bu").alias("nu"), F.col("bv").alias("nv"), F.explode(F.array("u", "v")).alias("image_id")).distinct().join(own, "image_id")
         out = scratch.keep(placed.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv")).applyInArrow(_confirm, "u long, v long"), "links")
-        scratch.drop(ids, own)
+        scratch.drop(ids)
         scratch.sweep()
         return out
 
@@ -358,7 +359,7 @@ def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def candidates(members: DataFrame, scratch: Scratch) -> DataFrame:
-    """u, v, n: of members (rep, key, component) those in different components that share n keys, KEYS or more."""
+    """u, v, n: of members of buckets (rep, key, component) those in different components that share n keys, KEYS or more."""
     split = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
     part = members.join(split, "key", "left_semi")
     x, y = part.alias("x"), part.alias("y")
@@ -373,19 +374,23 @@ def image_copies(images: DataFrame, image: str = "image") -> DataFrame:
     seen = scratch.keep(pictures.mapInArrow(_features, "image_id long, pixels long, shape long, n_corners long, keys array<long>"), "features")
     classes = scratch.keep(seen.where("image_id is not null and pixels is not null").groupBy("pixels", "shape").agg(F.min("image_id").alias("rep")), "classes")
     reps = scratch.keep(classes.select(F.col("rep").alias("image_id")).distinct(), "reps")
-    links = _Links(pictures.where("image_id is not null"), scratch)
+    links = _Links(pictures.where("image_id is not null"), seen.select("image_id", "n_corners"), scratch)
     members = seen.join(small(reps), "image_id", "left_semi").select(F.col("image_id").alias("rep"), F.explode("keys").alias("key"))
 
+    # Most keys belong to one picture only, and go no further.
     ends = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
-    stars = members.join(ends, "key").select("rep", F.explode(F.array("low", "high")).alias("end")).where("rep <> end").groupBy("rep", "end").agg(F.count("*").alias("n")).where(F.col("n") >= KEYS)
+    shared = scratch.keep(members.join(ends, "key").select("rep", "key", "low", "high"), "buckets")
+    scratch.sweep()
+    stars = shared.select("rep", F.explode(F.array("low", "high")).alias("end")).where("rep <> end").groupBy("rep", "end").agg(F.count("*").alias("n")).where(F.col("n") >= KEYS)
     stars = stars.groupBy("rep").agg(F.max_by("end", F.struct("n", -F.col("end"))).alias("end"))
     tried = scratch.keep(_ordered(stars, "rep", "end").distinct(), "stars")
     scratch.sweep()
     found = links.confirm(tried)
     joined = connected(found, scratch)
 
-    placed = members.join(small(joined.withColumnRenamed("node", "rep")), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
+    placed = shared.join(small(joined.withColumnRenamed("node", "rep")), "rep", "left").select("rep", "key", F.coalesce("component", "rep").alias("component"))
     left = candidates(placed, scratch)
+    scratch.drop(shared)
     scratch.sweep()
     while True:
         of = {c: joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "uv"}
