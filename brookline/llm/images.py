@@ -43,10 +43,10 @@ from brookline.llm.graph import components as connected
 from brookline.llm.shared import Scratch, small
 
 SCALES, STACK = tuple(2 ** (-k / 4) for k in range(5)), 16
-BITS, RADIUS, TURNS = 256, 10, 30
+BITS, RADIUS, TURNS = 256, 10, 32
 MATCH, INLIERS, NEAR, KEYS = 40, 14, 2.0, 2
 #: Of each table: bits of either corner, neighbours of a corner, and how far away they are at least and at most.
-TABLES, STEPS, FARTHEST = ((26, 1, 3.0), (20, 2, 16.0)), 6, 60.0
+TABLES, STEPS, FARTHEST = ((24, 1, 3.0), (19, 2, 16.0)), 6, 60.0
 #: Bytes of features that a block of pictures has on average; pairs are confirmed by pairs of blocks.
 BLOCK = 2 << 20
 _r = np.random.Generator(np.random.PCG64(7))
