@@ -134,9 +134,9 @@ def _items(benchmark: DataFrame, seed: int, scratch: Scratch) -> tuple[DataFrame
 
 
 def _bitmap(seeds: DataFrame) -> np.ndarray:
-    """Bits of the seeds' low parts: at least 16 for a seed while MOST_BITS allow it; beyond, more seeds of documents meet the join than have to."""
+    """Bits of the seeds' low parts: at least 128 for a seed while MOST_BITS allow it; beyond, more seeds of documents meet the join than have to."""
     n = seeds.count()
-    bits = min(max(1 << max(16 * n - 1, 1).bit_length(), LEAST_BITS), MOST_BITS)
+    bits = min(max(1 << max(128 * n - 1, 1).bit_length(), LEAST_BITS), MOST_BITS)
     place = F.expr(f"shiftright(seed & {bits - 1}L, 6)")
     got = seeds.groupBy(place.alias("place")).agg(F.expr("bit_or(shiftleft(1L, cast(seed & 63L as int)))").alias("word")).toArrow()
     out = np.zeros(bits // 64, np.int64)
