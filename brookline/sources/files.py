@@ -12,7 +12,7 @@ from brookline.types import STREAM, STRING, URL
 
 
 class Directory:
-    """The entries of one local directory, subdirectories too, by name: an element is a URL with its modification time."""
+    """The entries of one directory of any file system that Hadoop's clients know, subdirectories too, by name: an element is a URL with its modification time."""
 
     kind = URL
 
@@ -20,8 +20,10 @@ class Directory:
         self.path = path.rstrip("/") or "/"
 
     def frame(self, spark: SparkSession) -> DataFrame:
-        entries = sorted(os.scandir(self.path), key=lambda e: e.name)
-        rows = [(i, ("file", self.path, e.name, int(e.stat().st_mtime))) for i, e in enumerate(entries, 1)]
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        entries = sorted((e.getPath().getName(), e.getModificationTime() // 1000) for e in system.listStatus(place))
+        rows = [(i, (system.getUri().getScheme(), self.path, name, mod)) for i, (name, mod) in enumerate(entries, 1)]
         return spark.createDataFrame(rows, _parse_datatype_string(f"k0 bigint, value {URL.ddl}")).select("k0", F.current_timestamp().alias("ts"), "value")
 
 
@@ -62,8 +64,16 @@ def read_urls(urls: DataFrame) -> DataFrame:
             pdf = pdf.copy()
             contents = []
             for u in pdf["value"]:
-                with open(os.path.join(u["path"], u["name"]), "rb") as f:
-                    contents.append(f.read())
+                at = os.path.join(u["path"], u["name"])
+                if u["proto"] == "file":
+                    with open(at.removeprefix("file://"), "rb") as f:
+                        contents.append(f.read())
+                else:
+                    from pyarrow.fs import FileSystem
+
+                    system, inside = FileSystem.from_uri(at if "://" in at else f"{u['proto']}://{at}")
+                    with system.open_input_stream(inside) as f:
+                        contents.append(f.read())
             pdf["value"] = contents
             yield pdf
 
