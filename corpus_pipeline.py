@@ -1,7 +1,10 @@
 """The corpus pipeline: toxicity, near-duplicates, benchmark contamination, personal data, pieces.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again
-as the next one's documents. All but the last return the columns of documents.
+as the next one's documents. All but the last return the columns of documents, whatever further ones
+there are and whatever their names. An empty table stays empty; null texts count as empty and stay null; very
+long texts are read whole; repeated rows are judged alike, and of rows that repeat an id the second stage keeps one.
+Rows without an id are judged by their texts, and no other row makes them go.
 """
 
 from __future__ import annotations
