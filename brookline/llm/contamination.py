@@ -129,7 +129,7 @@ def _items(benchmark: DataFrame, seed: int, scratch: Scratch) -> tuple[DataFrame
                 g = T.grams(w, seed)
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(g.row)), pa.array(g.hash.view(np.int64)), pa.array(np.diff(w.first)[g.row])], ["item", "seed", "n_words"])
 
-    seeds = items.select("item", "item_text").dropDuplicates(["item"]).mapInArrow(scan, "item string, seed long, n_words long")
+    seeds = items.select("item", "item_text").dropDuplicates(["item"]).mapInArrow(T.task(scan), "item string, seed long, n_words long")
     return items, scratch.keep(seeds.groupBy("item", "seed").agg(F.count("*").alias("times"), F.max("n_words").alias("n_words")), "item-seeds")
 
 
@@ -164,7 +164,7 @@ def covered(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold:
                 rows = pa.array(row[one])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(rows), part.column(1).take(rows), pa.array(h[one].view(np.int64))], ["h1", "h2", "seed"])
 
-    shared = texts.mapInArrow(scan, "h1 long, h2 long, seed long").distinct().join(small(seeds), "seed")
+    shared = texts.mapInArrow(T.task(scan), "h1 long, h2 long, seed long").distinct().join(small(seeds), "seed")
     enough = F.sum("times") * seed >= F.max("n_words") * F.lit(threshold)
     pairs = scratch.keep(shared.groupBy("h1", "h2", "item").agg(enough.alias("enough")).where("enough").select("h1", "h2", "item"), "pairs")
     wanted = scratch.keep(pairs.select("h1", "h2").distinct(), "wanted")
@@ -178,7 +178,7 @@ def covered(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, threshold:
                 share = sum(n for _, _, n in tiles(b, a, seed)) / len(b)
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in range(3)), pa.array([share])], ["h1", "h2", "item", "coverage"])
 
-    found = scratch.keep(both.select("h1", "h2", "item", "text", "item_text").mapInArrow(tile, "h1 long, h2 long, item string, coverage double"), "coverage")
+    found = scratch.keep(both.select("h1", "h2", "item", "text", "item_text").mapInArrow(T.task(tile), "h1 long, h2 long, item string, coverage double"), "coverage")
     by = found.join(items.select("item", "item_id"), "item")
     best = F.max_by(F.struct("coverage", "item_id"), F.struct("coverage", -F.col("item_id"))).alias("best")
     over = F.array_sort(F.collect_set(F.when(F.col("coverage") >= threshold, F.col("item_id")))).alias("item_ids")

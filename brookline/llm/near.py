@@ -150,7 +150,7 @@ class _Links:
         one = texts.select(F.col("doc_id").alias("u"), F.col("text").alias("a"))
         two = texts.select(F.col("doc_id").alias("v"), F.col("text").alias("b"))
         joined = pairs.join(one, "u").join(two, "v").select("u", "v", "a", "b")
-        kept = self.scratch.keep(joined.mapInArrow(_confirm(self.n, self.percent), "u long, v long"), name)
+        kept = self.scratch.keep(joined.mapInArrow(T.task(_confirm(self.n, self.percent)), "u long, v long"), name)
         self.scratch.drop(texts)
         return kept
 
@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     """doc_id, n_shingles, component_id (smallest id reachable over links of percent / 100 or more), kept (it is that one)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    described = scratch.keep(docs.select("doc_id", "text").mapInArrow(_describe(n), "doc_id long, n_shingles long, k1 long, k2 long, s1 long, s2 long, bands array<long>"), "described")
+    described = scratch.keep(docs.select("doc_id", "text").mapInArrow(T.task(_describe(n)), "doc_id long, n_shingles long, k1 long, k2 long, s1 long, s2 long, bands array<long>"), "described")
     full = described.where("n_shingles > 0 and doc_id is not null")
     classes = scratch.keep(full.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands")), "classes")
 

@@ -116,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_cla
                 x = features(chunk).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "label", "x"])
 
-    got = labelled(docs, labels, label, allowed, per_class).select("doc_id", "text", "label").mapInArrow(extract, "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending")])
+    got = labelled(docs, labels, label, allowed, per_class).select("doc_id", "text", "label").mapInArrow(T.task(extract), "doc_id long, label int, x binary").toArrow().sort_by([("doc_id", "ascending")])
     x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BUCKETS + EXTRA).astype(np.float32)
     return Voters(x, got["label"].to_numpy(), rank, neighbours)
 
@@ -133,4 +133,4 @@ def score_quality(docs: DataFrame, model: Voters, threshold: float = 0.7) -> Dat
 
         T.release()
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(T.task(scan), "doc_id long, score double, predicted int")

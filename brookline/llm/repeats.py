@@ -237,7 +237,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     marked = texts.join(small(firsts), ["h1", "h2"], "left").select("doc_id", "text", F.coalesce(F.col("doc_id") > F.col("a"), F.lit(False)).alias("copy"))
     named = marked.where("doc_id is not null and not copy").select("doc_id", "text")
 
-    anchors = scratch.keep(named.mapInArrow(_anchors(window, phrase), "doc_id long, phrase long"), "anchors")
+    anchors = scratch.keep(named.mapInArrow(T.task(_anchors(window, phrase)), "doc_id long, phrase long"), "anchors")
     recurring = anchors.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("phrase", "a", "n")
     recurring = scratch.keep(recurring, "recurring")
     hot = scratch.keep(recurring.orderBy(F.desc("n"), "phrase").limit(most).select("phrase", F.col("a").alias("doc_id")), "hot")
@@ -245,15 +245,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
     got = hot.toArrow()  # at most `most` rows
     keys, owners = got["phrase"].to_numpy().view(U), got["doc_id"].to_numpy()
     order = np.argsort(keys)
-    words = named.join(F.broadcast(hot.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(_hot_phrases(window, phrase, keys[order], owners[order]), "phrase long, words binary").dropDuplicates(["phrase"]).toArrow()
+    words = named.join(F.broadcast(hot.select("doc_id").distinct()), "doc_id", "left_semi").mapInArrow(T.task(_hot_phrases(window, phrase, keys[order], owners[order])), "phrase long, words binary").dropDuplicates(["phrase"]).toArrow()
     sent = spark.sparkContext.broadcast(Shards(words["words"].to_pylist(), words["phrase"].to_numpy().view(U)))
-    located = named.mapInArrow(_located(window, phrase, sent), "doc_id long, w long")
+    located = named.mapInArrow(T.task(_located(window, phrase, sent)), "doc_id long, w long")
 
     cold = recurring.join(F.broadcast(hot.select("phrase")), "phrase", "left_anti").select("phrase")
     phrases = scratch.keep(anchors.join(cold, "phrase").groupBy("doc_id").agg(F.collect_set("phrase").alias("phrases")), "phrases")
     scratch.drop(anchors, recurring)
     scratch.sweep()
-    known = _of(named, phrases).select("doc_id", "text", "phrases").mapInArrow(_candidates(window, phrase), "doc_id long, w long")
+    known = _of(named, phrases).select("doc_id", "text", "phrases").mapInArrow(T.task(_candidates(window, phrase)), "doc_id long, w long")
     found = scratch.keep(located.unionByName(known), "windows")
     sent.destroy()
     scratch.drop(phrases, hot)
@@ -270,4 +270,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
         joined = _of(marked, gone).select("doc_id", "text", "gone", "copy").unionByName(rest.select("doc_id", "text", "gone", "copy"))
     else:
         joined = marked.join(gone, "doc_id", "left").select("doc_id", "text", "gone", "copy")
-    return joined.mapInArrow(_removal(window, phrase), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return joined.mapInArrow(T.task(_removal(window, phrase)), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

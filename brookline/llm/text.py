@@ -10,7 +10,7 @@ size. Null texts count as empty.
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -162,6 +162,18 @@ def release() -> None:
         pass
 
 
+def task(scan: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The scan of a task, which gives its memory back when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from scan(batches)
+        finally:
+            release()
+
+    return run
+
+
 def pieces(batch: pa.RecordBatch, text: str, rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, Chunk]]:
     """The batch cut into slices of bounded text and rows, each with its chunk."""
     for chunk in chunks(batch.column(batch.schema.get_field_index(text)), rows=rows):

@@ -187,7 +187,7 @@ def frequent(docs: DataFrame, text: str, model: str, entries: int = FREQUENT) ->
             sizes = lengths_of(processor(model), [x for x, _ in own], np.array([x for _, x in own]))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(sizes), pa.array(counts)], ["key", "size", "times"])
 
-    sent = docs.select(text).mapInArrow(heaviest, "key long, size int, times long")
+    sent = docs.select(text).mapInArrow(T.task(heaviest), "key long, size int, times long")
     top = sent.groupBy("key").agg(F.first("size").alias("size"), F.sum("times").alias("times")).orderBy(F.desc("times"), "key").limit(entries)
     got = top.select("key", "size").toArrow()
     keys = got["key"].to_numpy().view(np.uint64)
@@ -208,4 +208,4 @@ def count_tokens(docs: DataFrame, model: str, limit: int = 4096, entries: int =
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(chunk.offsets)), pa.array(n), pa.array(n > limit)], [id_col, "n_bytes", "n_tokens", "over_limit"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text).mapInArrow(count, f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(id_col, text).mapInArrow(T.task(count), f"{id_col} {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -108,8 +108,8 @@ def decisions(raw: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
     three, four = table[: 32**3], table[32**3 :]
     for low, high in ((0, 5), (5, 8), (8, 11), (11, 16), (16, 1 << 60)):
         some = np.flatnonzero((size > low) & (size <= high))
-        for at in range(0, len(some), 20_000):
-            part = some[at : at + 20_000]
+        for at in range(0, len(some), 8_192):
+            part = some[at : at + 8_192]
             codes, owner = _codes([raw[i] for i in part.tolist()])
             n, wide = codes.shape
             padded = np.zeros((wide + max(SPAN.values()), n), np.int32)
@@ -324,7 +324,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int = PER_CLASS) -> Model:
     """Everything the driver gets is bounded by the parameters: candidates, clean tokens, and two floats of each document in the sample."""
     spark = docs.sparkSession
-    sample = labelled(docs, labels, label, allowed, per_class).select("doc_id", "text", "label").mapInArrow(_tokens, "doc_id long, text string, label int, copy long, tokens array<binary>").persist()
+    sample = labelled(docs, labels, label, allowed, per_class).select("doc_id", "text", "label").mapInArrow(T.task(_tokens), "doc_id long, text string, label int, copy long, tokens array<binary>").persist()
     held = [sample]
     try:
         single = sample.groupBy("copy", "label").agg(F.min_by("tokens", "doc_id").alias("tokens")).persist()
@@ -352,7 +352,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_cla
                     f = decisions(batch.column(0).to_pylist(), *near.value)
                     yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f)], ["token", "f"])
 
-            hard = [bytes(r["token"]) for r in innocent.select("token").mapInArrow(judge, "token binary, f float").orderBy(F.desc("f"), "token").limit(CLEAN_TOKENS).collect()]
+            hard = [bytes(r["token"]) for r in innocent.select("token").mapInArrow(T.task(judge), "token binary, f float").orderBy(F.desc("f"), "token").limit(CLEAN_TOKENS).collect()]
             clean = hard[:CLEAN_LANDMARKS // 2] + clean[: CLEAN_LANDMARKS // 2] + hard[CLEAN_LANDMARKS // 2 :] + clean[CLEAN_LANDMARKS // 2 :]
             clean = list(dict.fromkeys(clean))[: 3 * CLEAN_TOKENS]
             table, bias = train(insults, clean)
@@ -365,7 +365,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_cla
                     t = tokens.top(chunk)
                     yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(t[:, k]) for k in range(5))], ["doc_id", "label", *"abcde"])
 
-        got = sample.select("doc_id", "text", "label").mapInArrow(tops, "doc_id long, label int, a float, b float, c float, d float, e float").toArrow().sort_by([("doc_id", "ascending")])
+        got = sample.select("doc_id", "text", "label").mapInArrow(T.task(tops), "doc_id long, label int, a float, b float, c float, d float, e float").toArrow().sort_by([("doc_id", "ascending")])
         x = np.stack([got[k].to_numpy() for k in "abcde"], axis=1)
         return Model(table, bias, _logistic(x, got["label"].to_numpy()))
     finally:
@@ -384,7 +384,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = 0.5) -> Dat
                 s = sent.value.score(tokens.top(chunk))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, score double, predicted int")
+    return docs.select("doc_id", "text").mapInArrow(T.task(scan), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
@@ -397,4 +397,4 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFra
             for part, chunk in T.pieces(batch, "text"):
                 yield part.filter(pa.array(sent.value.score(tokens.top(chunk)) < threshold))
 
-    return docs.mapInArrow(scan, docs.schema)
+    return docs.mapInArrow(T.task(scan), docs.schema)
