@@ -17,7 +17,7 @@ Pairs of a bucket are never listed all: pictures with equal pixels form a class
 class then meets that first or last picture of its buckets with which it shares most of them. Only classes that
 these links leave in different components meet each other, a pair of components by its likeliest pair first, and all
 their pairs where none links. Buckets are combined map-side. Only keys are stored for all pictures; candidates are
-described again, and their features go once to each pair of blocks that needs them.
+described again, and their features go once to each pair of blocks that needs them, a slice of the pairs at a time.
 
 Images are bytes of PNG (8 bits a channel, not interlaced), PGM, PPM (binary) or 24-bit BMP; others, JPEG
 among them, are not readable, and a column says so. Defined results: a row for every input row, an
@@ -332,26 +332,36 @@ def _confirm(pairs: pa.Table, features: pa.Table) -> pa.Table:
 
 
 class _Links:
-    """Confirmation of candidate pairs (u, v). seen: image_id and n_corners of every picture."""
+    """Confirmation of candidate pairs (u, v). seen: the ids of every picture."""
 
     def __init__(self, images: DataFrame, seen: DataFrame, scratch: Scratch):
         repeated = seen.where("image_id is not null").groupBy("image_id").count().where("count > 1").limit(1).count()
-        self.images, self.seen, self.scratch, self.repeated = images, seen, scratch, bool(repeated)
+        self.images, self.scratch, self.repeated = images, scratch, bool(repeated)
 
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """A written table of the links among the pairs, which are a written table too."""
         scratch = self.scratch
         ids = scratch.keep(pairs.select(F.explode(F.array("u", "v")).alias("image_id")).distinct(), "ids")
         asked = self.images.join(small(ids), "image_id", "left_semi")
-        own = (asked.dropDuplicates(["image_id"]) if self.repeated else asked).select("image_id", "image").mapInArrow(_again, "image_id long, spots binary, bits binary")
-        weight = (self.seen.join(small(ids), "image_id", "left_semi").agg(F.sum("n_corners")).first()[0] or 0) * (16 + BITS // 8)
-        block = lambda c: F.pmod(F.xxhash64(c), F.lit(max(weight // BLOCK + 1, 8)))
-        placed = pairs.select("u", "v", block("u").alias("bu"), block("v").alias("bv"))
-        needed = placed.select(F.col("bu").alias("nu"), F.col("bv").alias("nv"), F.explode(F.array("u", "v")).alias("image_id")).distinct().join(own, "image_id")
-        out = scratch.keep(placed.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv")).applyInArrow(_confirm, "u long, v long"), "links")
-        scratch.drop(ids)
+        own = scratch.keep((asked.dropDuplicates(["image_id"]) if self.repeated else asked).select("image_id", "image").mapInArrow(_again, "image_id long, spots binary, bits binary"), "described")
         scratch.sweep()
-        return out
+        held = own.agg(F.sum(F.octet_length("spots") + F.octet_length("bits")).alias("weight"), F.count("*").alias("n")).first()
+        blocks = max((held["weight"] or 0) // BLOCK + 1, 8)
+        # Each slice of the pairs sends about as much as the pictures hold, and is gone before the next.
+        slices = -(-2 * pairs.count() // max(held["n"], 1)) or 1
+        part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+        placed = pairs.select("u", "v", part("u", blocks).alias("bu"), part("v", blocks).alias("bv"), F.pmod(F.xxhash64(F.lit("slice"), F.col("u")), F.lit(slices)).alias("slice"))
+        out = []
+        for k in range(slices):
+            now = placed.where(F.col("slice") == k)
+            needed = now.select(F.col("bu").alias("nu"), F.col("bv").alias("nv"), F.explode(F.array("u", "v")).alias("image_id")).distinct().join(own, "image_id")
+            out.append(scratch.keep(now.groupBy("bu", "bv").cogroup(needed.groupBy("nu", "nv")).applyInArrow(_confirm, "u long, v long"), "links"))
+            scratch.sweep()
+        scratch.drop(ids, own)
+        links = out[0]
+        for more in out[1:]:
+            links = links.unionByName(more)
+        return links
 
 
 def _ordered(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -374,7 +384,7 @@ def image_copies(images: DataFrame, image: str = "image") -> DataFrame:
     seen = scratch.keep(pictures.mapInArrow(_features, "image_id long, pixels long, shape long, n_corners long, keys array<long>"), "features")
     classes = scratch.keep(seen.where("image_id is not null and pixels is not null").groupBy("pixels", "shape").agg(F.min("image_id").alias("rep")), "classes")
     reps = scratch.keep(classes.select(F.col("rep").alias("image_id")).distinct(), "reps")
-    links = _Links(pictures.where("image_id is not null"), seen.select("image_id", "n_corners"), scratch)
+    links = _Links(pictures.where("image_id is not null"), seen.select("image_id"), scratch)
     members = seen.join(small(reps), "image_id", "left_semi").select(F.col("image_id").alias("rep"), F.explode("keys").alias("key"))
 
     # Most keys belong to one picture only, and go no further.
