@@ -390,6 +390,8 @@ def image_copies(images: DataFrame, image: str = "image") -> DataFrame:
     # Most keys belong to one picture only, and go no further.
     ends = members.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high")
     shared = scratch.keep(members.join(ends, "key").select("rep", "key", "low", "high"), "buckets")
+    keyed, seen = seen, scratch.keep(seen.drop("keys"), "pictures")
+    scratch.drop(keyed)
     scratch.sweep()
     stars = shared.select("rep", F.explode(F.array("low", "high")).alias("end")).where("rep <> end").groupBy("rep", "end").agg(F.count("*").alias("n")).where(F.col("n") >= KEYS)
     stars = stars.groupBy("rep").agg(F.max_by("end", F.struct("n", -F.col("end"))).alias("end"))
