@@ -9,11 +9,13 @@ with the probability of the Jaccard similarity and their number concentrates. Ba
 coordinates are bucket keys.
 
 Candidates are taken without all pairs of a bucket: first each member with the bucket's
-smallest and largest class; what these links join is one component. Then only members of one
-bucket in different components are compared, which a self-join on the bucket does pair by
-pair where the sketches' bits agree (a filter of more than five standard deviations). Pairs
-are confirmed on the full sets, so no link is accepted on a sketch; at the threshold a link
-is missed with a probability of about 6e-11 by banding (0.85) and 1e-7 by the filter.
+smallest and largest class; what these links join is one component. Then members of a bucket
+are left over that have a member of another component there with which the sketches' bits
+agree (a filter of more than five standard deviations). No pair of these is listed: what shares buckets is
+a group, a group is cut into blocks of bounded size, and two blocks are compared at once on their full
+sets, as a product of matrices that counts the shingles of every pair. Every block meets every other of its
+group, but for two that lie in one component. No link is accepted on a sketch; at the
+threshold a link is missed with a probability of about 6e-11 by banding (0.85) and 1e-7 by the filter.
 
 Texts of candidates only are shuffled; up to a million of their ids go to the scan as a broadcast,
 more meet it in a shuffle. Groups of copies collapse before the banding, minima
@@ -31,7 +33,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brookline.llm import text as T
@@ -39,6 +42,8 @@ from brookline.llm.graph import components as connected
 from brookline.llm.shared import Scratch, small
 
 COORDINATES, WIDTH = 128, 4
+#: A block has this many shingles, of which each class counts CLASS more; COLUMNS shingles are multiplied at once.
+BLOCK, CLASS, COLUMNS = 1 << 20, 512, 2048
 U = np.uint64
 
 
@@ -137,6 +142,103 @@ def _confirm(n: int, percent: int):
     return scan
 
 
+def _sets(n: int):
+    """Ids and texts to ids, sizes of sets and sets."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, chunk in T.pieces(batch, "text"):
+                row, h = shingle_sets(chunk, n)
+                size = np.bincount(row, minlength=chunk.rows)
+                ends = np.concatenate([[0], np.cumsum(size)])
+                sets = pa.array([h[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), sets], ["node", "size", "hashes"])
+
+    return scan
+
+
+def intersections(ra: np.ndarray, ha: np.ndarray, na: int, rb: np.ndarray, hb: np.ndarray, nb: int) -> np.ndarray:
+    """How many elements each of na sets shares with each of nb; rows and elements are sorted by row."""
+    out = np.zeros((na, nb), np.int32)
+    known, first = np.unique(ha, return_index=True)
+    both = np.isin(known, hb)
+    known, first = known[both], first[both]
+    if not len(known):
+        return out
+    # Elements of the same sets get neighbouring columns, so that rare ones meet few rows.
+    place = np.empty(len(known), np.int64)
+    place[np.argsort(first)] = np.arange(len(known))
+    cells = []
+    for r, h in ((ra, ha), (rb, hb)):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        has = known[at] == h
+        r, column = r[has], place[at[has]]
+        order = np.argsort(column, kind="stable")
+        cells.append((r[order], column[order]))
+    for low in range(0, len(known), COLUMNS):
+        sides = []
+        for r, column in cells:
+            i, j = np.searchsorted(column, (low, low + COLUMNS))
+            rows, at = np.unique(r[i:j], return_inverse=True)
+            side = np.zeros((len(rows), COLUMNS), np.float32)
+            side[at, column[i:j] - low] = 1
+            sides.append((rows, side))
+        (rows, a), (columns, b) = sides
+        out[np.ix_(rows, columns)] += (a @ b.T).astype(np.int32)
+    return out
+
+
+def joined_nodes(linked: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between nodes a (rows) and b (columns), each node with the smallest one that it reaches: as many links as nodes."""
+    rows, columns = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+    linked, a, b = linked[np.ix_(rows, columns)], a[rows], b[columns]
+    if not len(a):
+        return a, b
+    top = np.iinfo(np.int64).max
+    la, lb = a.copy(), b.copy()
+    while True:
+        was = la, lb
+        la = np.array([min(x, lb[link].min(initial=top)) for x, link in zip(la, linked)])
+        lb = np.array([min(x, la[link].min(initial=top)) for x, link in zip(lb, linked.T)])
+        # A node may be on both sides.
+        node, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        low = np.full(len(node), top)
+        np.minimum.at(low, at, np.concatenate([la, lb]))
+        la, lb = low[at[: len(a)]], low[at[len(a) :]]
+        if (la == was[0]).all() and (lb == was[1]).all():
+            return node[low < node], low[low < node]
+
+
+def _compare(percent: int):
+    """Two blocks (of side 0 and 1; or one with itself) to links between different components."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        sides = []
+        for side in (0, 1):
+            part = table.filter(pc.equal(table["side"], side))
+            node, component, size = (part[c].to_numpy() for c in ("node", "component", "size"))
+            h = np.frombuffer(b"".join(part["hashes"].to_pylist()), U)
+            sides.append((node, component, size, np.repeat(np.arange(len(size)), size), h))
+        if not len(sides[1][0]):
+            sides[1] = sides[0]
+        (a, ca, na, ra, ha), (b, cb, nb, rb, hb) = sides
+        common = intersections(ra, ha, len(a), rb, hb, len(b))
+        linked = np.empty(common.shape, bool)
+        for i in range(0, len(a), 256):
+            some = slice(i, i + 256)
+            linked[some] = (common[some] > 0) & (common[some].astype(np.int64) * (100 + percent) >= percent * (na[some, None] + nb[None, :])) & (ca[some, None] != cb[None, :])
+        u, v = joined_nodes(linked, a, b)
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return compare(table)
+        finally:
+            T.release()
+
+    return run
+
+
 class _Links:
     """Confirmation of candidate pairs (u, v), with texts of the classes in them."""
 
@@ -154,6 +256,30 @@ class _Links:
         self.scratch.drop(texts)
         return kept
 
+    def across(self, rows: DataFrame, components: DataFrame) -> DataFrame:
+        """A written table of links that join what the links between different components join, among the members of each bucket (band, rep)."""
+        low = rows.groupBy("band").agg(F.min("rep").alias("v"))
+        edges = rows.join(low, "band").select(F.col("rep").alias("u"), "v").where("u <> v").distinct()
+        groups = self.scratch.keep(connected(edges, self.scratch).withColumnRenamed("component", "set_group"), "groups")
+        texts = self.docs.join(small(groups.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        sets = self.scratch.keep(texts.mapInArrow(T.task(_sets(self.n)), "node long, size long, hashes binary"), "sets")
+        weight = F.col("size") + CLASS
+        before = F.sum(weight).over(Window.partitionBy("set_group").orderBy("component", "node")) - weight
+        placed = groups.join(sets.select("node", "size"), "node").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = self.scratch.keep(placed.select("node", "set_group", "component", F.floor(before / BLOCK).cast("long").alias("block")), "placed")
+        blocks = placed.groupBy("set_group", "block").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+        x, y = blocks.alias("x"), blocks.alias("y")
+        one = "x.c0 = x.c1 and y.c0 = y.c1 and x.c0 = y.c0"
+        pairs = x.join(y, F.expr(f"x.set_group = y.set_group and x.block <= y.block and not ({one})"))
+        pairs = self.scratch.keep(pairs.select("x.set_group", F.col("x.block").alias("a"), F.col("y.block").alias("b")), "pairs")
+        members = placed.join(sets, "node")
+        left = members.join(pairs.withColumn("block", F.col("a")), ["set_group", "block"]).withColumn("side", F.lit(0))
+        right = members.join(pairs.where("a < b").withColumn("block", F.col("b")), ["set_group", "block"]).withColumn("side", F.lit(1))
+        both = left.unionByName(right).select("set_group", "a", "b", "side", "node", "component", "size", "hashes")
+        kept = self.scratch.keep(both.groupBy("set_group", "a", "b").applyInArrow(_compare(self.percent), "u long, v long"), "across")
+        self.scratch.drop(groups, sets, placed, pairs)
+        return kept
+
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links of percent / 100 or more), kept (it is that one)."""
@@ -176,17 +302,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     found = links.confirm(tried, "links")
     joined = connected(found, scratch)
 
-    # Members of one bucket that are in different components still have to be compared.
-    part = shared.select("band", "rep", "s1", "s2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # Members of one bucket that are in different components still have to be compared, but for its ends, which all were compared with.
+    end = F.struct("rep", "s1", "s2").isin(F.col("low"), F.col("high"))
+    part = shared.where(~end).select("band", "rep", "s1", "s2").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     split = part.groupBy("band").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("band")
     part = scratch.keep(part.join(split, "band", "left_semi"), "split")
-    x, y = part.alias("x"), part.alias("y")
-    cross = x.join(y, F.expr("x.band = y.band and x.rep < y.rep and x.component <> y.component and " + agree.format(a="x", b="y")))
-    cross = cross.select(F.col("x.rep").alias("u"), F.col("y.rep").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-    rest = scratch.keep(cross, "cross")
-    scratch.drop(shared, part)
-    more = links.confirm(rest, "more")
-    scratch.drop(tried, rest)
+    other = "x.band = y.band and x.component <> y.component and " + agree.format(a="x", b="y")
+    rest = scratch.keep(part.alias("x").join(part.alias("y"), F.expr(other), "left_semi").select("band", "rep"), "rest")
+    scratch.drop(shared, part, tried)
+    more = links.across(rest, joined)
+    scratch.drop(rest)
     if more.limit(1).count():
         joined = connected(found.unionByName(more), scratch)
 

@@ -286,6 +286,52 @@ def test_near_links_across_a_hot_bucket(spark):
     assert got == want and len({c for _, c in want.values()}) < 60
 
 
+def test_near_lists_no_pairs_of_a_large_group(spark, monkeypatch):
+    """Edited copies of a text with an id in the middle: those near enough link with it alone, the others with nothing, and what is written doesn't grow with the pairs."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200)]
+    texts = []
+    for i in range(300):
+        now = list(words)
+        for k in rng.sample(range(200), 0 if i == 150 else 3 + i % 6):
+            now[k] = f"x{i}_{k}"
+        texts.append((i, " ".join(now)))
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    written, keep = {}, Scratch.keep
+
+    def counted(self, table, name):
+        out = keep(self, table, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    want = brute.near(texts, 3, 85)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df, 3, 85).collect()}
+    assert got == want and 100 < len({c for _, c in want.values()}) < 250
+    assert max(written.values()) <= 32 * len(texts), written
+    monkeypatch.setattr(near, "BLOCK", 20_000)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near.near_duplicates(df, 3, 85).collect()}
+    assert got == want and written["pairs"] > 20
+
+
+def test_blocks_of_sets(monkeypatch):
+    """Intersections by matrices against sets; nodes joined against a walk over the links."""
+    monkeypatch.setattr(near, "COLUMNS", 7)
+    rng = random.Random(5)
+    for _ in range(20):
+        a, b = ([sorted(rng.sample(range(60), rng.randrange(1, 40))) for _ in range(rng.randrange(1, 12))] for _ in range(2))
+        sides = [x for s in (a, b) for x in (np.repeat(np.arange(len(s)), [len(e) for e in s]), np.array([x for e in s for x in e], np.uint64), len(s))]
+        assert near.intersections(*sides).tolist() == [[len(set(x) & set(y)) for y in b] for x in a]
+        u, v = (np.array(rng.sample(range(-20, 20), n)) for n in (9, 11))
+        linked = np.array([[rng.random() < 0.1 for _ in v] for _ in u])
+        whole = {int(x): {int(x)} for x in (*u, *v)}
+        for i, j in zip(*np.nonzero(linked)):
+            one = whole[int(u[i])] | whole[int(v[j])]
+            whole.update(dict.fromkeys(one, one))
+        node, low = near.joined_nodes(linked, u, v)
+        assert dict(zip(node.tolist(), low.tolist())) == {x: min(s) for x, s in whole.items() if min(s) < x}
+
+
 def test_sketch_agrees_with_jaccard():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 60, 900).astype(np.uint64)
