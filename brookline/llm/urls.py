@@ -10,7 +10,8 @@ chosen by a hash of the URL, and both labels weigh the same in all. A score abov
 URL looks more like what rules block than like what they allow. Features are lexical and know no
 label: lengths, depth, digit ratio, entropy, counts of parameters and of parts of the host, and
 statistics of the host's suffix (its last label, and its last two): how many URLs of the whole table
-have it, as a logarithm, for the STATISTICS most frequent, 0 for others. Boosting is histogram-based: each
+have it, as a logarithm, for every suffix. The STATISTICS most frequent are part of the column expression; a table
+has the others and is joined, to rows only whose suffix isn't among those, so no frequent suffix is a hot key. Boosting is histogram-based: each
 level of each tree is one aggregation of gradients by node, feature and bin, whose result
 has a fixed size, over a sample that lies in one partition and so isn't shuffled. Trees become CASE
 expressions, which whole-stage code generation compiles.
@@ -24,19 +25,18 @@ columns are ignored.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brookline.llm.shared import Scratch
+from brookline.llm.shared import Scratch, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
 SAMPLE, TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 20_000, 10, 2, 16, 0.4, 1.0, 5
-STATISTICS = 256
+STATISTICS, BROADCAST, SALTS = 256, 1 << 17, 1024
 SUFFIXES = ("suffix", "site")
 NUMERIC = ("length", "host_length", "path_length", "depth", "digits", "entropy", "parameters", "labels", "hyphens", "longest")
 
@@ -119,32 +119,49 @@ def _of_bin(name: str, k: int, _: float) -> Column:
 
 
 class Model(NamedTuple):
+    """statistics has the most frequent suffixes, rest a written table (suffix, salt, value) of all others where there are any."""
+
     trees: list[Tree]
     statistics: dict[str, dict[str, float]]
     bias: float = 0.0
+    rest: dict[str, DataFrame] | None = None
 
     def prepared(self, df: DataFrame) -> DataFrame:
-        """With the statistics of each host's suffixes."""
-        return df.withColumns({f"{k}_count": self._statistic(k) for k in SUFFIXES})
+        """With the statistics of each host's suffixes. Rows whose suffix the expression knows get a salt that the table hasn't, and are spread by it."""
+        for k in SUFFIXES:
+            value, key = self._statistic(k), [f"{k}_key", f"{k}_salt"]
+            if k in (self.rest or {}):
+                salt = F.when(value.isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int"))
+                others = small(self.rest[k], BROADCAST).toDF(*key, f"{k}_rest")
+                df = df.withColumns({key[0]: F.when(value.isNull(), F.col(k)), key[1]: salt}).join(others, key, "left")
+                value = F.coalesce(value, f"{k}_rest")
+            df = df.withColumn(f"{k}_count", F.coalesce(value, F.lit(0.0)))
+        return df
 
     def _statistic(self, name: str) -> Column:
+        """Null for a suffix that isn't among the most frequent."""
         known = self.statistics[name]
         if not known:
-            return F.lit(0.0)
+            return F.lit(None).cast("double")
         table = F.create_map(*(F.lit(x) for kv in sorted(known.items()) for x in kv))
-        return F.coalesce(F.try_element_at(table, F.col(name)), F.lit(0.0))
+        return F.try_element_at(table, F.col(name))
 
     def raw(self, below: Callable[[str, int, float], Column] = _of_value) -> Column:
         return sum((t.column(below) for t in self.trees), F.lit(self.bias))
 
 
-def suffix_statistics(hosts: DataFrame) -> dict[str, dict[str, float]]:
-    """Logarithms of how many rows of the whole table have a suffix, for the most frequent ones."""
-    out = {}
+def suffix_statistics(hosts: DataFrame, scratch: Scratch) -> tuple[dict[str, dict[str, float]], dict[str, DataFrame]]:
+    """Logarithms of how many rows of the whole table have a suffix: for the most frequent ones, and a written table of all others."""
+    out, rest = {}, {}
     for name, of in suffixes(F.col("host")).items():
-        top = hosts.groupBy(of.alias("s")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "s").limit(STATISTICS)
-        out[name] = {r["s"]: math.log(r["n"]) for r in top.collect()}
-    return out
+        counts = hosts.groupBy(of.alias("s")).agg(F.count("*").alias("n")).select("s", "n", F.lit(0).alias("salt"), F.log(F.col("n").cast("double")).alias("value"))
+        counts = scratch.keep(counts, name)
+        top = counts.orderBy(F.desc("n"), "s").limit(STATISTICS + 1).collect()
+        out[name] = {r["s"]: r["value"] for r in top[:STATISTICS]}
+        if len(top) > STATISTICS:
+            rest[name] = scratch.keep(counts.where(~F.col("s").isin(list(out[name]))).select("s", "salt", "value"), f"{name}-rest")
+        scratch.drop(counts)
+    return out, rest
 
 
 def fit(urls: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Model:
@@ -154,7 +171,8 @@ def fit(urls: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Model:
     count = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(count) < 2:
         return Model([], {k: {} for k in SUFFIXES}, -1.0)
-    model = Model([], suffix_statistics(urls.where("url is not null")))
+    statistics, rest = suffix_statistics(urls.where("url is not null"), scratch)
+    model = Model([], statistics, rest=rest)
     names = [*NUMERIC, *(f"{k}_count" for k in SUFFIXES)]
     ready = model.prepared(rows.coalesce(1).withColumns(features(F.col("url"), F.col("host"), F.col("path")))).select(*names, "label")
     ready = scratch.keep(ready, "features").coalesce(1)
