@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from brookline.llm.shared import Scratch, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/"))
+RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 SAMPLE, TREES, DEPTH, BINS, RATE, RIDGE, LEAST = 20_000, 10, 2, 16, 0.4, 1.0, 5
 STATISTICS, BROADCAST, SALTS = 256, 1 << 17, 1024
 SUFFIXES = ("suffix", "site")
