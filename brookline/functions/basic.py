@@ -105,7 +105,10 @@ def registry_frame(v: Column) -> Column:
 
 
 def registry_wrap(schema_id: Column, payload: Column) -> Column:
-    code = F.lpad(F.right(F.hex(schema_id.cast("bigint")), F.lit(8)), 8, "0")
+    """A registry's frame around a payload; an id that four bytes don't hold raises."""
+    number = schema_id.cast("bigint")
+    wide = F.raise_error(F.lit("a registry frame has four bytes for an id")).cast("string")
+    code = F.when(number.between(0, 0xFFFFFFFF), F.lpad(F.hex(number), 8, "0")).when(number.isNotNull(), wide)
     return F.concat(F.unhex(F.lit("00")), F.unhex(code), payload)
 
 

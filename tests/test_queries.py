@@ -32,6 +32,16 @@ def test_query(spark, db, name):
         assert len(got)
 
 
+def test_registry_ids_of_more_than_four_bytes(spark, tmp_path):
+    """Part keys from 32768 on have ids beyond 32 bits."""
+    keys = [1, 32767, 32768, 120_000, 7_200_000, 10**12, -1, -40_000]
+    spark.createDataFrame([(k, None if k == 1 else f"part {k}") for k in keys], "p_partkey bigint, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    own = duckdb.connect()
+    own.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = entry.queries()["registry_frame_parse"](spark, str(tmp_path)).toPandas()
+    assert len(got) == len(keys) and rows(got) == rows(own.sql(catalog.oracle_sql()["registry_frame_parse"]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 7
 
