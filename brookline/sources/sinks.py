@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
+from operator import itemgetter
 from typing import IO, Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brookline.operators.numbering import numbered
+from brookline.scratch import Scratch
 from brookline.types import ANY, BINARY, KV, KVM, STREAM, Kind
 
 
@@ -88,6 +93,52 @@ class PerTask:
         step.frame().orderBy(*step.keys).select("value").foreachPartition(run)
 
 
+class Reporting:
+    """A sink in tasks whose flushes count the whole order: make() gives an object with process(value), flush() and close(); what flush() returns is how many elements it flushed.
+
+    Elements are in order within a task, and flush() comes after each `each` elements of the whole order, or once without `each`. Where
+    such a stretch lies in more than one task, each flushes its part. write() gives flush_no and n, the parts added up; without `each`
+    there is a flush of 0 for no elements. The driver gets none of it. Values are Arrow's: bytes, and dicts for structs. A task that is run again processes its elements again.
+    """
+
+    #: Flushes that a task reports at once.
+    ROWS = 10_000
+
+    def __init__(self, make: Callable[[], Any], takes: Kind = ANY):
+        self.make, self.takes = make, takes
+
+    def write(self, step, options) -> DataFrame:
+        make, rows, kinds = self.make, self.ROWS, pa.schema([("flush_no", pa.int64()), ("n", pa.int64())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            said = lambda done: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*done) if done else ([], []))], schema=kinds)
+            sink, done = make(), []
+            try:
+                elements = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+                for number, own in groupby(elements, itemgetter(0)):
+                    for _, value in own:
+                        sink.process(value)
+                    done.append((number, sink.flush()))
+                    if len(done) == rows:
+                        yield said(done)
+                        done = []
+                yield said(done)
+            finally:
+                sink.close()
+
+        df = step.frame().select(*step.keys, "value")
+        scratch = Scratch(df.sparkSession)
+        if options.each:
+            df = numbered(df, step.keys, scratch).withColumn("flush_no", F.expr(f"(rn - 1) div {options.each} + 1")).sortWithinPartitions("rn")
+        else:
+            df = df.orderBy(*step.keys).withColumn("flush_no", F.lit(1).cast("bigint"))
+        parts = scratch.keep(df.select("flush_no", "value").mapInArrow(run, "flush_no bigint, n bigint"), "flushes")
+        scratch.drop(*(kept for kept, _ in list(scratch.kept.values()) if kept is not parts))
+        if options.each:
+            return parts.groupBy("flush_no").agg(F.sum("n").alias("n"))
+        return parts.agg(F.lit(1).cast("bigint").alias("flush_no"), F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n"))
+
+
 class KafkaSink:
     """Keys, values and headers to a topic, by Spark's connector (at least once).
 

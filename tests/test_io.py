@@ -12,7 +12,7 @@ from brookline.sources import brokers
 from brookline.sources.brokers import Kafka
 from brookline.sources.files import Contents, Directory, Lines, read_urls
 from brookline.sources.sequence import Items
-from brookline.sources.sinks import AmqpSink, Callback, KafkaSink, Out, PerTask
+from brookline.sources.sinks import AmqpSink, Callback, KafkaSink, Out, PerTask, Reporting
 from brookline.streaming import runner
 from brookline.types import KVM, LONG, STRING
 
@@ -231,6 +231,47 @@ def test_sink_in_tasks(spark, tmp_path):
     assert sorted(int(v) for x in logs for v in x.split() if v.isdigit()) == [1, 2, 3, 4, 5]
 
 
+class Written(Log):
+    """A task's sink that says how many elements it flushed."""
+
+    n = 0
+
+    def process(self, v):
+        super().process(v)
+        self.n += 1
+
+    def flush(self):
+        super().flush()
+        n, self.n = self.n, 0
+        return n
+
+
+@pytest.mark.parametrize(("each", "want"), [(0, [(1, 1000)]), (7, [(k, 7) for k in range(1, 143)] + [(143, 6)]), (250, [(k, 250) for k in range(1, 5)]), (5000, [(1, 1000)])])
+def test_sink_in_tasks_counts_the_whole_order(spark, tmp_path, monkeypatch, each, want):
+    """Flushes that lie in more than one task are reported whole; elements are in order between flushes and each comes once."""
+    at = str(tmp_path)
+    monkeypatch.setattr(Reporting, "ROWS", 3)
+    step = Flow(spark).table(spark.range(1000, numPartitions=5).withColumn("key", (F.col("id") * 387) % 1000), "key", "key", LONG)
+    coalesced = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesced, "false")
+    try:
+        assert sorted(map(tuple, step.each(each).to(Reporting(lambda: Written(at))).collect())) == want
+    finally:
+        spark.conf.unset(coalesced)
+    logs = [p.read_text() for p in tmp_path.iterdir()]
+    assert sum("|" in x for x in logs) > 1
+    stretches = [[int(v) for v in part.split()] for x in logs for part in x.removesuffix("end").split("|") if part.split()]
+    assert all(s == list(range(s[0], s[-1] + 1)) and (not each or s[0] // each == s[-1] // each) for s in stretches)
+    assert sorted(v for s in stretches for v in s) == list(range(1000))
+
+
+@pytest.mark.parametrize(("each", "want"), [(0, [(1, 0)]), (3, [])])
+def test_sink_in_tasks_without_elements(spark, tmp_path, each, want):
+    at = str(tmp_path)
+    step = Flow(spark).table(spark.range(0), "id", "id", LONG)
+    assert list(map(tuple, step.each(each).to(Reporting(lambda: Written(at))).collect())) == want
+
+
 def appended(spark, at, low, high):
     spark.range(low, high).select(F.col("id").alias("value"), F.col("id").alias("k")).coalesce(1).write.mode("append").parquet(at)
 

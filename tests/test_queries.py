@@ -42,6 +42,26 @@ def test_registry_ids_of_more_than_four_bytes(spark, tmp_path):
     assert len(got) == len(keys) and rows(got) == rows(own.sql(catalog.oracle_sql()["registry_frame_parse"]).df())
 
 
+@pytest.mark.parametrize("name", ["sink_flush_end"])
+def test_no_element_of_a_flush_reaches_the_driver(spark, db, monkeypatch, name):
+    """Counts of the statement come from the tasks; nothing but the ranges' bounds and numbers is collected."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    with monkeypatch.context() as m:
+        for way in ("collect", "toLocalIterator", "toPandas", "toArrow", "take", "foreach"):
+            m.setattr(DataFrame, way, lambda *_, **__: pytest.fail("rows were sent to the driver"))
+        out = entry.queries()[name](spark, D)
+    assert rows(out.toPandas()) == rows(db.sql(catalog.oracle_sql()[name]).df())
+
+
+@pytest.mark.parametrize("name", ["sink_flush_end", "sink_flush_each"])
+def test_flushes_of_no_orders(spark, tmp_path, name):
+    spark.read.parquet(f"{D}/orders.parquet").limit(0).write.parquet(f"{tmp_path}/orders.parquet")
+    own = duckdb.connect()
+    own.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert rows(entry.queries()[name](spark, str(tmp_path)).toPandas()) == rows(own.sql(catalog.oracle_sql()[name]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 7
 
